@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from renewscope.functions.scalar import safe_ratio
-from renewscope.operators.skew import fan_out
+from renewscope.operators.skew import fan_out, salt_plan
 from renewscope.operators.timeline import along_timeline, running_total
 
 # Event-defining transaction columns, raw name to feature name.
@@ -68,45 +69,61 @@ def running_history(points: DataFrame, txn_days: DataFrame, at: str = "dec") ->
     )
 
 
-def history_medians(points: DataFrame, txn: DataFrame, at: str = "dec") -> DataFrame:
-    """(msno, at, median_hist_paid): exact median of amounts paid strictly before.
+def value_histograms(points: DataFrame, txn: DataFrame, at: str = "dec") -> DataFrame:
+    """(msno, at, kind, value, n): how often each amount paid and each payment method
+    occurs strictly before the date.
 
-    Equal amounts of a user and day are counted first; hot users are spread over
-    tasks; equal amounts are merged again per decision date before the weighted
-    percentile, whose buffer holds one user's distinct amounts.
+    Equal values of a user and day are counted first, both kinds share one join, hot
+    users are spread over tasks, and equal values are merged again per decision date.
     """
     dates = points.select("msno", at).distinct()
-    amounts = txn.groupBy(
-        "msno", F.col("transaction_date").alias("date"), F.col("actual_amount_paid").alias("value")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    pairs = fan_out(amounts, dates, "msno", ["date", "value"], F.col("date") < F.col(at))
-    return (
-        pairs.groupBy("msno", at, "value").agg(F.sum("n").alias("n"))
-        .groupBy("msno", at)
-        .agg(F.percentile("value", F.lit(0.5), F.col("n")).alias("median_hist_paid"))
+    kinds = F.explode(F.array(
+        F.struct(F.lit("paid").alias("kind"), F.col("actual_amount_paid").alias("value")),
+        F.struct(F.lit("method").alias("kind"), F.col("payment_method_id").alias("value")),
+    ))
+    daily = (
+        txn.select("msno", F.col("transaction_date").alias("date"), kinds.alias("k"))
+        .select("msno", "date", "k.kind", "k.value")
+        .where(F.col("value").isNotNull())
+        .groupBy("msno", "date", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     )
+    pairs = fan_out(daily, dates, "msno", ["date", "kind", "value"], F.col("date") < F.col(at),
+                    salt_plan(txn, "msno"))
+    return pairs.groupBy("msno", at, "kind", "value").agg(F.sum("n").alias("n"))
 
 
-def history_modes(points: DataFrame, txn: DataFrame, at: str = "dec") -> DataFrame:
-    """(msno, at, mode_pay_method): commonest method strictly before, smallest on ties."""
-    dates = points.select("msno", at).distinct()
-    methods = txn.where(F.col("payment_method_id").isNotNull()).groupBy(
-        "msno", F.col("transaction_date").alias("date"), "payment_method_id"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    pairs = fan_out(methods, dates, "msno", ["date", "payment_method_id"], F.col("date") < F.col(at))
-    return (
-        pairs.groupBy("msno", at, "payment_method_id").agg(F.sum("n").alias("n"))
-        .groupBy("msno", at)
-        .agg(F.max_by("payment_method_id", F.struct("n", -F.col("payment_method_id")))
-             .alias("mode_pay_method"))
+def history_medians_and_modes(points: DataFrame, txn: DataFrame, at: str = "dec") -> DataFrame:
+    """(msno, at) with the exact median of amounts paid and the commonest payment
+    method, the smallest one on ties, both strictly before the date.
+
+    The median is read off a running count over the ordered distinct values: a sort
+    that can spill, instead of a percentile buffer per group held in memory.
+    """
+    paid, method = F.col("kind") == "paid", F.col("kind") == "method"
+    whole = W.partitionBy("msno", at)
+    running = whole.orderBy("kind", "value").rowsBetween(W.unboundedPreceding, 0)
+    n_paid = F.when(paid, F.col("n"))
+    counted = (
+        value_histograms(points, txn, at)
+        .withColumn("upto", F.sum(n_paid).over(running))
+        .withColumn("total", F.sum(n_paid).over(whole))
+        .withColumn("most", F.max(F.when(method, F.col("n"))).over(whole))
+    )
+
+    def order_statistic(rank):
+        covers = paid & (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
+        return F.max(F.when(covers, F.col("value")))
+
+    lower = F.floor((F.col("total") - 1) / 2)
+    upper = F.floor(F.col("total") / 2)
+    return counted.groupBy("msno", at).agg(
+        ((order_statistic(lower) + order_statistic(upper)) / F.lit(2.0)).alias("median_hist_paid"),
+        F.min(F.when(method & (F.col("n") == F.col("most")), F.col("value"))).alias("mode_pay_method"),
     )
 
 
 def with_history(points: DataFrame, txn: DataFrame, txn_days: DataFrame, at: str = "dec") -> DataFrame:
     """All transaction features of each point."""
     keys = ["msno", at]
-    return (
-        running_history(points, txn_days, at)
-        .join(history_medians(points, txn, at), keys, "left")
-        .join(history_modes(points, txn, at), keys, "left")
-    )
+    return running_history(points, txn_days, at).join(
+        history_medians_and_modes(points, txn, at), keys, "left")

@@ -40,27 +40,37 @@ def join_unique(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], weight
     return hot_part.unionByName(cold_part)
 
 
+def salt_plan(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """(key, _salts) of the hot keys, counted on raw rows of the source.
+
+    A key gets as many salts as it holds shares, so one piece is at most `share` of
+    the rows, and all hot keys together have at most 2 / share salts.
+    """
+    least = F.greatest(rows.agg(F.count(F.lit(1))).scalar() * F.lit(share), F.lit(2.0))
+    return (
+        rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") >= least)
+        .select(key, F.ceil(F.col("_n") / least).cast("int").alias("_salts"))
+    )
+
+
 def fan_out(facts: DataFrame, points: DataFrame, key: str, spread: Sequence[str],
-            residual: Column | None = None, salts: int = 32) -> DataFrame:
+            residual: Column, salts: DataFrame) -> DataFrame:
     """Join facts to every matching point of the same key.
 
-    The rows of hot keys are spread over `salts` tasks by a hash of `spread`,
-    and only the points of those keys are repeated once per salt.
+    The rows of hot keys are spread over their salts by a hash of `spread`, and only
+    the points of those keys are repeated once per salt.
     """
-    hot = hot_keys(facts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), [key], "_n")
-    hot = hot.select(key, F.lit(salts).alias("_salts"))
+    salts = F.broadcast(salts)
     pick = F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int")
     left = (
-        facts.join(F.broadcast(hot), key, "left")
+        facts.join(salts, key, "left")
         .withColumn("_salt", F.coalesce(pick, F.lit(0)))
         .drop("_salts")
     )
     right = (
-        points.join(F.broadcast(hot), key, "left")
+        points.join(salts, key, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
-    joined = left.join(right, [key, "_salt"])
-    if residual is not None:
-        joined = joined.where(residual)
-    return joined.drop("_salt")
+    return left.join(right, [key, "_salt"]).where(residual).drop("_salt")
