@@ -55,46 +55,39 @@ def _buckets(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which NULL keys match each other."""
+    renamed = right.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
+    cond = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    return left.join(renamed, cond).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
                     probs: Sequence[float]) -> DataFrame:
     """(groups, prob, quantile, n) with linear interpolation between order statistics."""
     groups = list(groups)
     counts = value_counts(df, groups, value)
-    buckets = _buckets(counts, groups)
     wanted = (
-        buckets.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_pos", (F.col("_total") - 1) * F.col("_p"))
+        _buckets(counts, groups)
+        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .withColumn("_pos", (F.col("_total") - 1) * F.col("prob"))
         .withColumn("_rank", F.explode(F.array_distinct(
             F.array(F.floor("_pos").cast("long"), F.ceil("_pos").cast("long")))))
         .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_bn")))
-        .select(*groups, "_b", "_p", "_pos", "_rank", "_before", "_total")
+        .drop("_bn")
     )
     # Only the buckets that hold a wanted rank are ordered by value.
-    targets = wanted.select(*groups, "_b", "_before").distinct()
-    cond = [counts["_b"].eqNullSafe(F.col("t._b"))] + [
-        counts[g].eqNullSafe(F.col(f"t.{g}")) for g in groups
-    ]
-    in_bucket = W.partitionBy(*groups, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        counts.join(targets.alias("t"), cond)
-        .select(*[counts[c] for c in [*groups, "_b", "_v", "_n"]], F.col("t._before"))
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(in_bucket))
-        .withColumn("_from", F.col("_upto") - F.col("_n"))
-        .select(*groups, "_b", "_v", "_from", "_upto")
-    )
-    match = [wanted["_b"] == ranked["_b"]] + [wanted[g].eqNullSafe(ranked[g]) for g in groups]
-    match.append((wanted["_rank"] >= ranked["_from"]) & (wanted["_rank"] < ranked["_upto"]))
-    hits = wanted.join(ranked, match).select(
-        *[wanted[g] for g in groups], wanted["_p"], wanted["_pos"], wanted["_total"],
-        wanted["_rank"], ranked["_v"],
+    in_bucket = W.partitionBy(*groups, "_b", "prob", "_rank").orderBy("_v")
+    hits = (
+        _match(counts, wanted, [*groups, "_b"])
+        .withColumn("_upto", F.col("_before") + F.sum("_n").over(
+            in_bucket.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .where((F.col("_rank") >= F.col("_upto") - F.col("_n")) & (F.col("_rank") < F.col("_upto")))
     )
-    low = F.min_by("_v", "_rank")
-    high = F.max_by("_v", "_rank")
+    low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
     part = F.first("_pos") - F.floor(F.first("_pos"))
-    return hits.groupBy(*groups, F.col("_p").alias("prob")).agg(
-        (low + (high - low) * part).alias("quantile"),
-        F.first("_total").alias("n"),
-    )
+    return hits.groupBy(*groups, "prob").agg(
+        (low + (high - low) * part).alias("quantile"), F.first("_total").alias("n"))
 
 
 def quantile_columns(df: DataFrame, groups: Sequence[str], value: str,
@@ -111,14 +104,9 @@ def value_ranks(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     groups = list(groups)
     counts = value_counts(df, groups, value)
     buckets = _buckets(counts, groups).select(*groups, "_b", "_before")
-    cond = [counts["_b"] == F.col("k._b")] + [counts[g].eqNullSafe(F.col(f"k.{g}")) for g in groups]
-    in_bucket = W.partitionBy(*groups, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    before = F.col("_before") + F.sum("_n").over(in_bucket) - F.col("_n")
-    return (
-        counts.join(buckets.alias("k"), cond)
-        .select(*[counts[c] for c in [*groups, "_b", "_v", "_n"]], F.col("k._before"))
-        .withColumn("_first", before)
-        .select(*groups, F.col("_v").alias(value), F.col("_n").alias("n"),
-                (F.col("_first") + 1).alias("min_rank"),
-                (F.col("_first") + (F.col("_n") + 1) / 2).alias("avg_rank"))
-    )
+    in_bucket = W.partitionBy(*groups, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    first = F.col("_before") + F.sum("_n").over(in_bucket) - F.col("_n")
+    return _match(counts, buckets, [*groups, "_b"]).withColumn("_first", first).select(
+        *groups, F.col("_v").alias(value), F.col("_n").alias("n"),
+        (F.col("_first") + 1).alias("min_rank"),
+        (F.col("_first") + (F.col("_n") + 1) / 2).alias("avg_rank"))

@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+GROUPS: dict[str, str] = {}
 
 _CTES = {"orders": study_ctes(ORDERS_STUDY, "orders"), "events": study_ctes(EVENTS_STUDY, "events")}
 _INPUTS = {"orders": orders_study, "events": events_study}
@@ -58,6 +59,7 @@ def query(name: str, columns: str, sql: str | None = None, study: str = "orders"
     def add(fn: Callable[[StudyInputs], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
+        GROUPS[name] = fn.__module__.rsplit(".", 1)[-1]
         QUERIES[name] = lambda spark, sf_dir: emit(fn(inputs_of(study, spark, sf_dir)), columns)
         if sql is not None:
             ORACLES[name] = compose(_CTES[study], f"SELECT {emit_sql(columns)} FROM ({sql}) AS result")
@@ -72,6 +74,7 @@ def table_query(name: str, columns: str, sql: str | None = None, ctes: dict[str,
     def add(fn: Query):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
+        GROUPS[name] = fn.__module__.rsplit(".", 1)[-1]
         QUERIES[name] = lambda spark, sf_dir: emit(fn(spark, sf_dir), columns)
         if sql is not None:
             ORACLES[name] = compose(ctes or {}, f"SELECT {emit_sql(columns)} FROM ({sql}) AS result")
