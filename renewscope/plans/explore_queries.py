@@ -12,6 +12,7 @@ from renewscope.operators.panel import daily_panel
 from renewscope.operators.quantiles import exact_quantiles, quantile_columns
 from renewscope.plans.catalog import query
 from renewscope.plans.labelled import labelled_events
+from renewscope.session import through_table
 
 _RATES = ("pre_rate", "post_rate", "vol_ratio")
 
@@ -52,7 +53,8 @@ def class_medians(inp):
 @query("below_99th_percentile", "msno E:d vol_ratio:f",
        "SELECT msno, E, vol_ratio FROM ev WHERE vol_ratio < (SELECT quantile_cont(vol_ratio, 0.99) FROM ev)")
 def below_99th_percentile(inp):
-    return X.below_quantile(labelled_events(inp), "vol_ratio", 0.99)
+    events = labelled_events(inp).select("msno", "E", "vol_ratio")
+    return X.below_quantile(through_table(events, "ratios"), "vol_ratio", 0.99)
 
 
 @query("price_quantiles_by_method", "payment_method_id:i prob:f quantile:g n:i", """
@@ -107,7 +109,8 @@ SELECT label, min(q1) AS q1, min(q2) AS median, min(q3) AS q3,
 FROM core JOIN (SELECT label, quantile_cont(pre_rate, 0.25) AS q1, quantile_cont(pre_rate, 0.5) AS q2,
   quantile_cont(pre_rate, 0.75) AS q3 FROM core GROUP BY 1) q USING (label) GROUP BY 1""")
 def box_statistics_by_class(inp):
-    return X.box_statistics(core(labelled_events(inp)), "label", "pre_rate")
+    events = core(labelled_events(inp)).select("label", "pre_rate")
+    return X.box_statistics(through_table(events, "rates"), "label", "pre_rate")
 
 
 _RANKED = ["pre_rate", "post_rate", "vol_ratio", "pre_n_days", "h30_rate"]
@@ -122,7 +125,9 @@ def _rank(c):
     f"FROM core WHERE {' AND '.join(c + ' IS NOT NULL' for c in _RANKED)})"
     for i, a in enumerate(_RANKED) for b in _RANKED[i:]))
 def spearman_correlation(inp):
-    return X.spearman(core(labelled_events(inp)), _RANKED, ["msno", "E"])
+    events = core(labelled_events(inp)).select("msno", "E", *_RANKED)
+    # Ranks and the rows that receive them both read the events: write them once.
+    return X.spearman(through_table(events, "ranked"), _RANKED, ["msno", "E"])
 
 
 _PANEL_SQL = ("SELECT * FROM (SELECT msno, E, off AS \"offset\", total_secs, num_100, num_unq, num_25 FROM fanned) "
