@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-_QUERY_MODULES = ("study_queries", "audit_queries", "explore_queries", "score_queries", "shape_queries")
+_QUERY_MODULES = ("study_queries", "audit_queries", "explore_queries", "score_queries", "shape_queries",
+                  "model_queries", "stream_queries")
 
 
 def load_catalog():
