@@ -105,9 +105,9 @@ def group_rare_levels(df: DataFrame, col: str, out: str, min_rows: int = 50, fit
 
 def one_hot_stages(cols: Sequence[str]) -> list:
     """ML stages: index (unknown kept apart) and one-hot each column to `<col>_vec`."""
-    index = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep", stringOrderType="alphabetAsc")
-             for c in cols]
-    return [*index, OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_vec" for c in cols],
+    index = StringIndexer(inputCols=list(cols), outputCols=[f"{c}_idx" for c in cols], handleInvalid="keep",
+                          stringOrderType="alphabetAsc")
+    return [index, OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_vec" for c in cols],
                                   handleInvalid="keep", dropLast=True)]
 
 

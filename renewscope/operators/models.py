@@ -25,7 +25,7 @@ from renewscope.operators import metrics as M
 from renewscope.operators.features import (
     categorical_columns, numeric_columns, one_hot_stages, project_features, with_balanced_weights,
 )
-from renewscope.operators.splits import assign_run_split, development, fold_parts, holdout, walk_forward_roles
+from renewscope.operators.splits import assign_run_split, development, fold_parts, holdout, walk_forward_parts
 from renewscope.sources.contract import FeatureContract
 
 KEYS = ("msno", "E")
@@ -71,7 +71,7 @@ def logistic(names: Sequence[str], target: str = "y", max_iter: int = 300, reg:
 
 def _tree_inputs(names: Sequence[str]) -> list:
     nums, cats = numeric_columns(names), categorical_columns(names)
-    index = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in cats]
+    index = [StringIndexer(inputCols=cats, outputCols=[f"{c}_idx" for c in cats], handleInvalid="keep")] if cats else []
     return _numeric(nums, scaled=False) + index + [
         VectorAssembler(inputCols=["numbers", *[f"{c}_idx" for c in cats]], outputCol="x")]
 
@@ -263,14 +263,12 @@ def regression_cv(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, arms:
                                      F.avg("rmse").alias("rmse"))
 
 
-def walk_forward(rows: DataFrame, make: Maker, steps: Sequence[int], min_train_months: int = 1) -> DataFrame:
+def walk_forward(rows: DataFrame, make: Maker, steps: Sequence[int]) -> DataFrame:
     """(test_month, scores): refit on months up to t, score month t + 1."""
-    roles = walk_forward_roles(rows, min_train_months)
     parts = []
     for t in steps:
-        step = roles.where(F.col("step") == t)
-        model = fit_balanced(make(), step.where(F.col("role") == "train"))
-        parts.append(predict(model, step.where(F.col("role") == "test")).withColumn("test_month", F.lit(t + 1)))
+        train, test = walk_forward_parts(rows, t)
+        parts.append(predict(fit_balanced(make(), train), test).withColumn("test_month", F.lit(t + 1)))
     return M.score_block(union_all(parts), ["test_month"])
 
 

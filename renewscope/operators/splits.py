@@ -105,6 +105,12 @@ def walk_forward_roles(events: DataFrame, min_train_months: int = 1) -> DataFram
     return roles.join(F.broadcast(complete), "step", "left_semi")
 
 
+def walk_forward_parts(events: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of one step as plain filters, for fitting one model per step."""
+    dev = development(events)
+    return dev.where(F.col("month_idx") <= step), dev.where(F.col("month_idx") == step + 1)
+
+
 def hash_order(seed: int, *cols: str) -> Column:
     """A repeatable pseudo-random order that depends on row content only."""
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])

@@ -30,7 +30,7 @@ def _cutoff_rows(inp):
 
 
 def _logit(names, target="y"):
-    return lambda: L.logistic(names, target, max_iter=15)
+    return lambda: L.logistic(names, target, max_iter=6)
 
 
 def _trees(names, target="y"):
@@ -41,7 +41,7 @@ def _trees(names, target="y"):
 def model_comparison(inp):
     rows, names = _rows(inp)
     makers = {"logistic": _logit(names), "forest": lambda: L.forest(names, trees=8, depth=5), "boosted": _trees(names)}
-    return L.cross_validate(rows, makers, folds=(0, 1))
+    return L.cross_validate(rows, makers, folds=(0,))
 
 
 @query("hyper_parameter_search", "trial config macro_f1:f macro_f1_std:f balanced_acc:f")
@@ -50,7 +50,7 @@ def hyper_parameter_search(inp):
     spark = rows.sparkSession
     store = SweepStore(spark, shared_dir(spark, "sweeps"))
     make = lambda max_iter, reg: L.logistic(names, max_iter=max_iter, reg=reg)
-    _, trials = L.random_search(rows, make, {"max_iter": [5, 10], "reg": [0.0, 0.01, 0.1]}, 3, 42, folds=(0, 1),
+    _, trials = L.random_search(rows, make, {"max_iter": [3, 6], "reg": [0.0, 0.01, 0.1]}, 3, 42, folds=(0,),
                                 store=store, name="logistic_run42")
     return trials
 
@@ -58,13 +58,13 @@ def hyper_parameter_search(inp):
 @query("repeated_holdout_runs", "seed:i model accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
 def repeated_holdout_runs(inp):
     rows, names = _rows(inp)
-    return L.repeated_holdout(rows, {"logistic": _logit(names)}, inp.cfg, RUN_SEEDS)
+    return L.repeated_holdout(rows, {"logistic": _logit(names)}, inp.cfg, RUN_SEEDS[:3])
 
 
 @query("two_stage_runs", "seed:i model best_tau:f accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
 def two_stage_runs(inp):
     rows, names = _rows(inp)
-    return L.two_stage_runs(rows, _logit(names, "renew"), _logit(names, "move"), inp.cfg, RUN_SEEDS[:2], folds=(0, 1))
+    return L.two_stage_runs(rows, _logit(names, "renew"), _logit(names, "move"), inp.cfg, RUN_SEEDS[:1], folds=(0,))
 
 
 @query("renewal_stage_quality", "roc_auc:f average_precision:f macro_f1:f")
@@ -82,26 +82,26 @@ def regression_arms(inp):
 @query("walk_forward_scores", "test_month:i accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
 def walk_forward_scores(inp):
     rows, names = _rows(inp)
-    return L.walk_forward(rows, _logit(names), steps=(11, 23, 33), min_train_months=6)
+    return L.walk_forward(rows, _logit(names), steps=(11, 23, 33))
 
 
 @query("accuracy_decay_by_cutoff", "cutoff_days:i macro_f1:f macro_f1_std:f balanced_acc:f")
 def accuracy_decay_by_cutoff(inp):
     rows, names = _cutoff_rows(inp)
-    return L.decay_by_cutoff(rows, _logit(names), inp.cfg.cutoffs, inp.cfg, folds=(0, 1))
+    return L.decay_by_cutoff(rows, _logit(names), inp.cfg.cutoffs, inp.cfg, folds=(0,))
 
 
 @query("two_stage_decay_by_cutoff", "cutoff_days:i derived:f stage1:f stage2:f")
 def two_stage_decay_by_cutoff(inp):
     rows, names = _cutoff_rows(inp)
     return L.two_stage_decay(rows, _logit(names, "renew"), _logit(names, "move"), inp.cfg.cutoffs[::2], 0.475,
-                             inp.cfg, folds=(0, 1))
+                             inp.cfg, folds=(0,))
 
 
 @query("single_feature_recovery", "seed:i single:f full:f recovered:f")
 def single_feature_recovery(inp):
     rows, names = _rows(inp)
-    return L.single_feature_recovery(rows, _logit(["is_auto_renew"]), _logit(names), inp.cfg, RUN_SEEDS[:3])
+    return L.single_feature_recovery(rows, _logit(["is_auto_renew"]), _logit(names), inp.cfg, RUN_SEEDS[:2])
 
 
 @query("class_mix_by_auto_renew", "is_auto_renew:i label n:i share:f row_total:i", """
