@@ -6,7 +6,6 @@ and scoring stays in Spark and every protocol returns one small result table.
 
 from __future__ import annotations
 
-import json
 import random
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -160,14 +159,16 @@ def random_search(rows: DataFrame, make: Callable[..., Pipeline], grid: dict[str
         return store.load(name)["best_params"], store.trials(name)
     configs = draw_configs(grid, n, seed)
     makers = {f"{i:04d}": (lambda c=c: make(**c)) for i, c in enumerate(configs)}
-    scored = cross_validate(rows, makers, target, folds)
-    params = F.create_map(*[x for i, c in enumerate(configs) for x in (F.lit(f"{i:04d}"), F.lit(json.dumps(c)))])
-    trials = scored.withColumnRenamed("model", "trial").withColumn("config", params[F.col("trial")])
+    scored = cross_validate(rows, makers, target, folds).withColumnRenamed("model", "trial")
+    # One column per parameter, looked up by trial number.
+    drawn = {k: F.create_map(*[x for i, c in enumerate(configs) for x in (F.lit(f"{i:04d}"), F.lit(c[k]))])[F.col("trial")]
+             for k in grid}
+    trials = scored.withColumns(drawn)
     if store is not None:
-        store.save(name, trials, ["config"], seed=seed, n_trials=n, cv_folds=len(folds))
-        trials = store.trials(name)
+        store.save(name, trials, list(grid), seed=seed, n_trials=n, cv_folds=len(folds))
+        return store.load(name)["best_params"], store.trials(name)
     best = trials.orderBy(F.desc("macro_f1"), "trial").first()
-    return json.loads(best["config"]), trials
+    return {k: best[k] for k in grid}, trials
 
 
 def repeated_holdout(rows: DataFrame, makers: dict[str, Maker], cfg: StudyConfig, seeds: Sequence[int],

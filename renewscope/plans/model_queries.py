@@ -44,7 +44,7 @@ def model_comparison(inp):
     return L.cross_validate(rows, makers, folds=(0,))
 
 
-@query("hyper_parameter_search", "trial config macro_f1:f macro_f1_std:f balanced_acc:f")
+@query("hyper_parameter_search", "trial max_iter:i reg:f macro_f1:f macro_f1_std:f balanced_acc:f")
 def hyper_parameter_search(inp):
     rows, names = _rows(inp)
     spark = rows.sparkSession
