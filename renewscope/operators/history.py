@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from renewscope.functions.scalar import safe_ratio
-from renewscope.operators.skew import fan_out, salt_plan
+from renewscope.operators.quantiles import value_bucket
+from renewscope.operators.skew import HOT_SHARE, hot_rows_keys, split_hot
 from renewscope.operators.timeline import along_timeline, running_total
 
 # Event-defining transaction columns, raw name to feature name.
@@ -69,61 +70,116 @@ def running_history(points: DataFrame, txn_days: DataFrame, at: str = "dec") ->
     )
 
 
-def value_histograms(points: DataFrame, txn: DataFrame, at: str = "dec") -> DataFrame:
-    """(msno, at, kind, value, n): how often each amount paid and each payment method
-    occurs strictly before the date.
+def running_counts(facts: DataFrame, grid: DataFrame, category: str, at: str) -> DataFrame:
+    """Rows of `grid` (msno, at, category, ...) with `n`, the number of facts of that user
+    and category strictly before the date.
 
-    Equal values of a user and day are counted first, both kinds share one join, hot
-    users are spread over tasks, and equal values are merged again per decision date.
+    `facts` has one row per user, day and category, so this is a running total per
+    (user, category): days and dates are never paired with each other.
     """
-    dates = points.select("msno", at).distinct()
-    kinds = F.explode(F.array(
-        F.struct(F.lit("paid").alias("kind"), F.col("actual_amount_paid").alias("value")),
-        F.struct(F.lit("method").alias("kind"), F.col("payment_method_id").alias("value")),
-    ))
-    daily = (
-        txn.select("msno", F.col("transaction_date").alias("date"), kinds.alias("k"))
-        .select("msno", "date", "k.kind", "k.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("msno", "date", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    daily = facts.select("msno", "date", category, F.col("n").alias("d_n"))
+
+    def measures(frame):
+        return {"n": running_total("d_n", frame, -1)}
+
+    return along_timeline(grid, daily, measures, key=["msno", category], at=at)
+
+
+def _daily(txn: DataFrame, *cats) -> DataFrame:
+    return txn.groupBy("msno", F.col("transaction_date").alias("date"), *cats).agg(F.count(F.lit(1)).alias("n"))
+
+
+def history_modes(points: DataFrame, txn: DataFrame, at: str = "dec") -> DataFrame:
+    """(msno, at, mode_pay_method): commonest method strictly before, smallest on ties.
+    Methods are a code list, so a user has few of them."""
+    daily = _daily(txn.where(F.col("payment_method_id").isNotNull()), "payment_method_id")
+    grid = points.select("msno", at).distinct().join(daily.select("msno", "payment_method_id").distinct(), "msno")
+    counted = running_counts(daily, grid, "payment_method_id", at).where(F.col("n") > 0)
+    most = F.max("n").over(W.partitionBy("msno", at))
+    return counted.withColumn("most", most).where(F.col("n") == F.col("most")).groupBy("msno", at).agg(
+        F.min("payment_method_id").alias("mode_pay_method"))
+
+
+def _middle_ranks(total: Column) -> Column:
+    return F.array_distinct(F.array(F.floor((total - 1) / 2), F.floor(total / 2)))
+
+
+def _pick(counted: DataFrame, category: str, at: str, *within: str) -> DataFrame:
+    """Rows of the category that holds the wanted rank, and the rank's place inside it."""
+    ordered = W.partitionBy("msno", at, *within, "rank").orderBy(category)
+    upto = F.sum("n").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return (
+        counted.withColumn("_upto", upto)
+        .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("n")))
+        .withColumn("_inside", F.col("rank") - (F.col("_upto") - F.col("n")))
     )
-    pairs = fan_out(daily, dates, "msno", ["date", "kind", "value"], F.col("date") < F.col(at),
-                    salt_plan(txn, "msno"))
-    return pairs.groupBy("msno", at, "kind", "value").agg(F.sum("n").alias("n"))
 
 
-def history_medians_and_modes(points: DataFrame, txn: DataFrame, at: str = "dec") -> DataFrame:
-    """(msno, at) with the exact median of amounts paid and the commonest payment
-    method, the smallest one on ties, both strictly before the date.
+def _median_of(picked: DataFrame, value: str, at: str) -> DataFrame:
+    """Mean of the one or two middle values."""
+    return picked.groupBy("msno", at).agg(
+        ((F.min(value) + F.max(value)) / F.lit(2.0)).alias("median_hist_paid"))
 
-    The median is read off a running count over the ordered distinct values: a sort
-    that can spill, instead of a percentile buffer per group held in memory.
-    """
-    paid, method = F.col("kind") == "paid", F.col("kind") == "method"
+
+def _ranked_grid(counted: DataFrame, at: str) -> DataFrame:
     whole = W.partitionBy("msno", at)
-    running = whole.orderBy("kind", "value").rowsBetween(W.unboundedPreceding, 0)
-    n_paid = F.when(paid, F.col("n"))
-    counted = (
-        value_histograms(points, txn, at)
-        .withColumn("upto", F.sum(n_paid).over(running))
-        .withColumn("total", F.sum(n_paid).over(whole))
-        .withColumn("most", F.max(F.when(method, F.col("n"))).over(whole))
-    )
+    kept = counted.where(F.col("n") > 0).withColumn("_total", F.sum("n").over(whole))
+    return kept.withColumn("rank", F.explode(_middle_ranks(F.col("_total")))).drop("_total")
 
-    def order_statistic(rank):
-        covers = paid & (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
-        return F.max(F.when(covers, F.col("value")))
 
-    lower = F.floor((F.col("total") - 1) / 2)
-    upper = F.floor(F.col("total") / 2)
-    return counted.groupBy("msno", at).agg(
-        ((order_statistic(lower) + order_statistic(upper)) / F.lit(2.0)).alias("median_hist_paid"),
-        F.min(F.when(method & (F.col("n") == F.col("most")), F.col("value"))).alias("mode_pay_method"),
-    )
+def small_history_medians(points: DataFrame, txn: DataFrame, at: str) -> DataFrame:
+    """Medians for users whose number of distinct amounts is small: each date meets
+    each distinct amount of its user once."""
+    daily = _daily(txn, F.col("actual_amount_paid").alias("value"))
+    grid = points.join(daily.select("msno", "value").distinct(), "msno")
+    return _median_of(_pick(_ranked_grid(running_counts(daily, grid, "value", at), at), "value", at), "value", at)
+
+
+def large_history_medians(points: DataFrame, txn: DataFrame, at: str) -> DataFrame:
+    """Medians for users with any number of distinct amounts.
+
+    Amounts are counted in coarse buckets first, whose number is bounded; the bucket
+    holding the middle rank is counted in finer buckets and only the last, narrow one
+    by value. Each level is a running total per (user, bucket), so a user's rows spread
+    over buckets and dates are never paired with transactions.
+    """
+    steps = (64, 64 * 64)
+    value = F.col("actual_amount_paid")
+    rows = txn.select(
+        "msno", "transaction_date", value.alias("value"),
+        *[value_bucket(value, s).alias(f"b{i}") for i, s in enumerate(steps)])
+    levels = ["b0", "b1", "value"]
+    daily = _daily(rows, "b0")
+    grid = points.join(daily.select("msno", "b0").distinct(), "msno")
+    picked = _pick(_ranked_grid(running_counts(daily, grid, "b0", at), at), "b0", at)
+    for parent, child in zip(levels, levels[1:]):
+        # The finer buckets nest in the coarser ones.
+        targets = picked.select("msno", at, parent, F.col("_inside").alias("rank"))
+        wanted = targets.select("msno", parent).distinct()
+        daily = _daily(rows.join(wanted, ["msno", parent], "left_semi"), parent, child)
+        inside = targets.join(daily.select("msno", parent, child).distinct(), ["msno", parent])
+        # Both middle ranks may lie in one bucket with different positions.
+        counted = running_counts(daily, inside, child, at).where(F.col("n") > 0)
+        picked = _pick(counted, child, at, parent)
+    return _median_of(picked, "value", at)
+
+
+def history_medians(points: DataFrame, txn: DataFrame, at: str = "dec", share: float = HOT_SHARE) -> DataFrame:
+    """(msno, at, median_hist_paid): exact median of amounts paid strictly before."""
+    dates = points.select("msno", at).distinct()
+    paid = txn.where(F.col("actual_amount_paid").isNotNull())
+    hot = hot_rows_keys(paid, "msno", share)
+    hot_dates, cold_dates = split_hot(dates, hot, "msno")
+    hot_txn, cold_txn = split_hot(paid, hot, "msno")
+    return small_history_medians(cold_dates, cold_txn, at).unionByName(
+        large_history_medians(hot_dates, hot_txn, at))
 
 
 def with_history(points: DataFrame, txn: DataFrame, txn_days: DataFrame, at: str = "dec") -> DataFrame:
     """All transaction features of each point."""
     keys = ["msno", at]
-    return running_history(points, txn_days, at).join(
-        history_medians_and_modes(points, txn, at), keys, "left")
+    return (
+        running_history(points, txn_days, at)
+        .join(history_medians(points, txn, at), keys, "left")
+        .join(history_modes(points, txn, at), keys, "left")
+    )

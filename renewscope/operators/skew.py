@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds at least this share of the rows. At most
@@ -40,37 +40,17 @@ def join_unique(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], weight
     return hot_part.unionByName(cold_part)
 
 
-def salt_plan(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """(key, _salts) of the hot keys, counted on raw rows of the source.
-
-    A key gets as many salts as it holds shares, so one piece is at most `share` of
-    the rows, and all hot keys together have at most 2 / share salts.
-    """
+def hot_rows_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """Keys that own at least `share` of the raw rows: at most 1 / share of them."""
     least = F.greatest(rows.agg(F.count(F.lit(1))).scalar() * F.lit(share), F.lit(2.0))
     return (
         rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") >= least)
-        .select(key, F.ceil(F.col("_n") / least).cast("int").alias("_salts"))
+        .select(key)
     )
 
 
-def fan_out(facts: DataFrame, points: DataFrame, key: str, spread: Sequence[str],
-            residual: Column, salts: DataFrame) -> DataFrame:
-    """Join facts to every matching point of the same key.
-
-    The rows of hot keys are spread over their salts by a hash of `spread`, and only
-    the points of those keys are repeated once per salt.
-    """
-    salts = F.broadcast(salts)
-    pick = F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int")
-    left = (
-        facts.join(salts, key, "left")
-        .withColumn("_salt", F.coalesce(pick, F.lit(0)))
-        .drop("_salts")
-    )
-    right = (
-        points.join(salts, key, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
-    )
-    return left.join(right, [key, "_salt"]).where(residual).drop("_salt")
+def split_hot(df: DataFrame, hot: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of hot keys, all other rows); the hot keys are few and are broadcast."""
+    hot = F.broadcast(hot)
+    return df.join(hot, key, "left_semi"), df.join(hot, key, "left_anti")

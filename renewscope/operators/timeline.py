@@ -21,7 +21,7 @@ Frame = Callable[[int | None, int | None], WindowSpec]
 
 
 def along_timeline(points: DataFrame, facts: DataFrame, measures: Callable[[Frame], Mapping[str, Column]],
-                   key: str = "msno", at: str = "E", day: str = "date") -> DataFrame:
+                   key: str | list[str] = "msno", at: str = "E", day: str = "date") -> DataFrame:
     """Each point with aggregates over the facts of the same key.
 
     `measures` receives `frame(lo, hi)`: the window of rows whose day lies between

@@ -78,8 +78,11 @@ def usage_windows(events: DataFrame, days: DataFrame, cfg: StudyConfig) -> DataF
     )
 
 
-def cohort_usage(logs: DataFrame, events: DataFrame) -> DataFrame:
-    """Log rows of cohort users only. The set of users grows with the data, so the
-    join is left to the optimizer, which may add a Bloom filter but is not told to
-    broadcast."""
-    return logs.join(events.select("msno").distinct(), "msno", "left_semi")
+def cohort_usage(days: DataFrame, events: DataFrame) -> DataFrame:
+    """Daily usage of cohort users only.
+
+    It follows the reduction to days: where the user set is small enough to broadcast,
+    Spark itself moves this semi join below that aggregate and filters before the
+    shuffle; where it is not, a hot user has already shrunk to one row per day.
+    """
+    return days.join(events.select("msno").distinct(), "msno", "left_semi")

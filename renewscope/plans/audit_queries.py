@@ -156,7 +156,7 @@ def _forward_only(inp):
     days = transaction_days(txn)
     cohort = expiry_events(txn, inp.cfg)
     events = renewal_signals(cohort, days, inp.cfg).withColumn("renewed", F.col("renewed_forward"))
-    usage = usage_days(cohort_usage(inp.usage, cohort), inp.cfg)
+    usage = cohort_usage(usage_days(inp.usage, inp.cfg), cohort)
     return with_label(usage_windows(events, usage, inp.cfg), inp.cfg), txn
 
 

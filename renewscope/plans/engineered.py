@@ -33,7 +33,7 @@ def engineered_events(inputs: StudyInputs) -> DataFrame:
     txn = distinct_transactions(inputs.transactions)
     txn_days = transaction_days(txn)
     cohort = expiry_events(txn, inputs.cfg)
-    days = usage_days(cohort_usage(inputs.usage, cohort), inputs.cfg)
+    days = cohort_usage(usage_days(inputs.usage, inputs.cfg), cohort)
     events = with_label(usage_windows(with_renewal(cohort, txn_days, inputs.cfg), days, inputs.cfg), inputs.cfg)
     history = with_history(cohort.select("msno", "E"), txn, txn_days, at="E")
     events = events.join(history.select("msno", "E", *_HISTORY), ["msno", "E"])

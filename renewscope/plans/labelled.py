@@ -16,5 +16,5 @@ def labelled_events(inputs: StudyInputs) -> DataFrame:
     txn = distinct_transactions(inputs.transactions)
     cohort = expiry_events(txn, inputs.cfg)
     renewed = with_renewal(cohort, transaction_days(txn), inputs.cfg)
-    days = usage_days(cohort_usage(inputs.usage, cohort), inputs.cfg)
+    days = cohort_usage(usage_days(inputs.usage, inputs.cfg), cohort)
     return with_label(usage_windows(renewed, days, inputs.cfg), inputs.cfg)

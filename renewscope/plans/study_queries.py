@@ -26,7 +26,7 @@ def _cohort(inp):
 
 def _usage(inp, events=None):
     cohort = _cohort(inp)
-    days = usage_days(cohort_usage(inp.usage, cohort), inp.cfg)
+    days = cohort_usage(usage_days(inp.usage, inp.cfg), cohort)
     return usage_windows(cohort.select("msno", "E", *(events or [])), days, inp.cfg)
 
 
@@ -130,7 +130,7 @@ def recent_vs_lifetime_ratio(inp):
        "SELECT 5 * count(*) AS n, 0.0 AS max_diff, 0.0 AS mean_diff FROM cohort")
 def baseline_reconstruction(inp):
     cohort = _cohort(inp)
-    days = usage_days(cohort_usage(inp.usage, cohort), inp.cfg)
+    days = cohort_usage(usage_days(inp.usage, inp.cfg), cohort)
     wide = usage_windows(cohort.select("msno", "E"), days, inp.cfg)
     less = F.explode(F.array(*[
         F.struct(F.lit(c).alias("cutoff_days"),
@@ -256,7 +256,7 @@ def demographics_join(inp):
        "SELECT msno, count(*) AS n_days, sum(total_secs) AS total FROM logs "
        "WHERE msno IN (SELECT msno FROM cohort) GROUP BY 1")
 def cohort_usage_semijoin(inp):
-    days = usage_days(cohort_usage(inp.usage, _cohort(inp)), inp.cfg)
+    days = cohort_usage(usage_days(inp.usage, inp.cfg), _cohort(inp))
     return days.groupBy("msno").agg(
         F.count(F.lit(1)).alias("n_days"), (F.sum("d_micros") / 1_000_000).alias("total"))
 

@@ -9,10 +9,11 @@ from renewscope.config import MODEL_CLASSES, StudyConfig
 from renewscope.operators import features as E
 from renewscope.operators import metrics as M
 from renewscope.operators.explore import describe_exact, histogram, missing_fractions, spearman
+from renewscope.operators.history import history_medians
 from renewscope.operators.panel import daily_panel, dense_sequence, slide
 from renewscope.operators.quantiles import exact_quantiles, value_ranks
 from renewscope.operators.ranges import binned_interval_join, plain_interval_join
-from renewscope.operators.skew import fan_out, join_unique, salt_plan
+from renewscope.operators.skew import hot_rows_keys, join_unique
 from renewscope.operators.splits import hash_sample, stratified_subsample
 
 CFG = StudyConfig()
@@ -77,18 +78,31 @@ def test_describe_histogram_missing(numbers):
     assert gone[("hot", "x")] == pytest.approx(pdf[pdf["g"] == "hot"]["x"].isna().mean())
 
 
-def test_fan_out_with_a_hot_key(spark):
-    facts = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 97).cast("string")).alias("msno"),
-        (F.col("id") % 50).cast("int").alias("d"), F.col("id"))
-    points = facts.select("msno").distinct().select("msno", F.explode(F.sequence(F.lit(5), F.lit(45), F.lit(10))).alias("at"))
-    salts = salt_plan(facts, "msno")
-    planned = {r["msno"]: r["_salts"] for r in salts.collect()}
-    assert planned["hot"] > 100 and sum(planned.values()) <= 2 / 0.002
-    got = fan_out(facts, points, "msno", ["id"], F.col("d") < F.col("at"), salts)
-    want = facts.join(points, "msno").where("d < at")
-    assert got.count() == want.count()
-    assert got.exceptAll(want.select(got.columns)).count() == 0
+def test_hot_user_history(spark):
+    """A user with a third of all rows and continuous amounts goes the bucketed way."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    pdf = pd.DataFrame({"msno": np.where(np.arange(n) % 3 == 0, "hot", (np.arange(n) % 40).astype(str)),
+                        "day": rng.integers(0, 120, n), "paid": np.round(rng.lognormal(8, 2, n)).astype(int)})
+    pdf.loc[pdf["day"] % 11 == 0, "paid"] = 0
+    base = F.lit("2016-01-01").cast("date")
+    txn = spark.createDataFrame(pdf).select("msno", F.date_add(base, F.col("day").cast("int")).alias("transaction_date"),
+                                            F.col("paid").alias("actual_amount_paid"))
+    points = txn.select("msno").distinct().select("msno", F.explode(F.sequence(F.lit(0), F.lit(125), F.lit(9))).alias("d"))
+    points = points.withColumn("dec", F.date_add(base, F.col("d")))
+    hot = {r[0] for r in hot_rows_keys(txn, "msno", 0.1).collect()}
+    assert hot == {"hot"}
+    mixed, bucketed = history_medians(points, txn, share=0.1), history_medians(points, txn, share=1e-9)
+    day0 = pd.Timestamp("2016-01-01").date()
+    for found in (mixed, bucketed):
+        got = {(r["msno"], (r["dec"] - day0).days): r["median_hist_paid"] for r in found.collect()}
+        want = {}
+        for user, part in pdf.groupby("msno"):
+            for d in range(0, 126, 9):
+                past = part[part["day"] < d]["paid"]
+                if len(past):
+                    want[(user, d)] = past.median()
+        assert got == want
 
 
 def test_join_unique_keeps_every_row(numbers):
