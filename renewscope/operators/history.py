@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from renewscope.functions.scalar import safe_ratio
 from renewscope.operators.quantiles import value_bucket
-from renewscope.operators.skew import HOT_SHARE, hot_rows_keys, split_hot
+from renewscope.operators.skew import HOT_SHARE, hot_row_keys
 from renewscope.operators.timeline import along_timeline, running_total
+from renewscope.session import through_table
 
 # Event-defining transaction columns, raw name to feature name.
 EVENT_FIELDS = {
@@ -151,7 +152,8 @@ def large_history_medians(points: DataFrame, txn: DataFrame, at: str) -> DataFra
     levels = ["b0", "b1", "value"]
     daily = _daily(rows, "b0")
     grid = points.join(daily.select("msno", "b0").distinct(), "msno")
-    picked = _pick(_ranked_grid(running_counts(daily, grid, "b0", at), at), "b0", at)
+    # Each level reads the one before several times: write it once and cut the lineage.
+    picked = through_table(_pick(_ranked_grid(running_counts(daily, grid, "b0", at), at), "b0", at), "median")
     for parent, child in zip(levels, levels[1:]):
         # The finer buckets nest in the coarser ones.
         targets = picked.select("msno", at, parent, F.col("_inside").alias("rank"))
@@ -160,7 +162,7 @@ def large_history_medians(points: DataFrame, txn: DataFrame, at: str) -> DataFra
         inside = targets.join(daily.select("msno", parent, child).distinct(), ["msno", parent])
         # Both middle ranks may lie in one bucket with different positions.
         counted = running_counts(daily, inside, child, at).where(F.col("n") > 0)
-        picked = _pick(counted, child, at, parent)
+        picked = through_table(_pick(counted, child, at, parent), "median")
     return _median_of(picked, "value", at)
 
 
@@ -168,11 +170,12 @@ def history_medians(points: DataFrame, txn: DataFrame, at: str = "dec", share: f
     """(msno, at, median_hist_paid): exact median of amounts paid strictly before."""
     dates = points.select("msno", at).distinct()
     paid = txn.where(F.col("actual_amount_paid").isNotNull())
-    hot = hot_rows_keys(paid, "msno", share)
-    hot_dates, cold_dates = split_hot(dates, hot, "msno")
-    hot_txn, cold_txn = split_hot(paid, hot, "msno")
-    return small_history_medians(cold_dates, cold_txn, at).unionByName(
-        large_history_medians(hot_dates, hot_txn, at))
+    hot = hot_row_keys(paid, "msno", share)
+    if not hot:
+        return small_history_medians(dates, paid, at)
+    is_hot = F.col("msno").isin(hot)
+    return small_history_medians(dates.where(~is_hot), paid.where(~is_hot), at).unionByName(
+        large_history_medians(dates.where(is_hot), paid.where(is_hot), at))
 
 
 def with_history(points: DataFrame, txn: DataFrame, txn_days: DataFrame, at: str = "dec") -> DataFrame:

@@ -40,17 +40,13 @@ def join_unique(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], weight
     return hot_part.unionByName(cold_part)
 
 
-def hot_rows_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that own at least `share` of the raw rows: at most 1 / share of them."""
-    least = F.greatest(rows.agg(F.count(F.lit(1))).scalar() * F.lit(share), F.lit(2.0))
-    return (
-        rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= least)
-        .select(key)
-    )
-
+def hot_row_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """Keys that own at least `share` of the raw rows, counted now.
 
-def split_hot(df: DataFrame, hot: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows of hot keys, all other rows); the hot keys are few and are broadcast."""
-    hot = F.broadcast(hot)
-    return df.join(hot, key, "left_semi"), df.join(hot, key, "left_anti")
+    There are at most 1 / share of them whatever the data, so the list fits the driver
+    and a filter; knowing it beforehand keeps the special treatment of hot keys out of
+    plans that do not need it.
+    """
+    least = F.greatest(rows.agg(F.count(F.lit(1))).scalar() * F.lit(share), F.lit(2.0))
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return [r[0] for r in counted.where(F.col("_n") >= least).select(key).collect()]

@@ -13,6 +13,7 @@ from renewscope.operators.members import with_demographics
 from renewscope.operators.renewal import with_renewal
 from renewscope.operators.splits import with_fixed_split
 from renewscope.operators.usage import cohort_usage, usage_days, usage_windows
+from renewscope.session import through_table
 from renewscope.sources.adapters import StudyInputs
 
 _HISTORY = (
@@ -29,25 +30,35 @@ def event_history(inputs: StudyInputs) -> DataFrame:
     return with_history(points, txn, transaction_days(txn), at="E").select("msno", "E", *_HISTORY)
 
 
-def engineered_events(inputs: StudyInputs) -> DataFrame:
-    txn = distinct_transactions(inputs.transactions)
-    txn_days = transaction_days(txn)
+def _labelled_with_members(inputs: StudyInputs, txn: DataFrame, txn_days: DataFrame) -> DataFrame:
     cohort = expiry_events(txn, inputs.cfg)
     days = cohort_usage(usage_days(inputs.usage, inputs.cfg), cohort)
-    events = with_label(usage_windows(with_renewal(cohort, txn_days, inputs.cfg), days, inputs.cfg), inputs.cfg)
-    history = with_history(cohort.select("msno", "E"), txn, txn_days, at="E")
-    events = events.join(history.select("msno", "E", *_HISTORY), ["msno", "E"])
+    renewed = with_renewal(cohort, txn_days, inputs.cfg)
+    events = with_label(usage_windows(renewed, days, inputs.cfg), inputs.cfg)
     if inputs.members is not None:
         events = with_demographics(events, inputs.members, inputs.cfg)
     return with_fixed_split(events, inputs.cfg)
 
 
+def engineered_events(inputs: StudyInputs) -> DataFrame:
+    txn = distinct_transactions(inputs.transactions)
+    txn_days = transaction_days(txn)
+    events = _labelled_with_members(inputs, txn, txn_days)
+    points = expiry_events(txn, inputs.cfg).select("msno", "E")
+    history = with_history(points, txn, txn_days, at="E").select("msno", "E", *_HISTORY)
+    return events.join(history, ["msno", "E"])
+
+
 def rebuilt_at_cutoffs(inputs: StudyInputs, mode: str = "uniform") -> DataFrame:
-    """Base features of the modellable events at every cutoff, in one job."""
+    """Base features of the modellable events at every cutoff, in one job. Histories are
+    built at the decision dates only; c = 0 is one of them."""
     txn = distinct_transactions(inputs.transactions)
-    events = engineered_events(inputs).where(F.col("is_modellable") == 1)
+    txn_days = transaction_days(txn)
+    events = _labelled_with_members(inputs, txn, txn_days).where(F.col("is_modellable") == 1)
     carried = ["expiry_month", "label", "renewed", "vol_ratio", "user_fold", "is_holdout",
                "month_idx", "is_modellable"]
     if inputs.members is not None:
         carried += ["city", "bd", "gender", "registered_via", "registration_init_time"]
-    return cutoff_matrix(events, txn, transaction_days(txn), inputs.cfg, carried, mode)
+    # Read twice, for its dates and its features: written once.
+    events = through_table(events, "modellable")
+    return cutoff_matrix(events, txn, txn_days, inputs.cfg, carried, mode)
