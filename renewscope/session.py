@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder named by spark.checkpoint.dir.
 
-    Only where that setting is absent (unit tests) a temporary folder is used.
+    Where that setting is absent, a session in one process (unit tests) gets a temporary
+    folder; a cluster gets an error, as its machines would each write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="renewscope-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
