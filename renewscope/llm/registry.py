@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-_MODULES = ("mixing_query", "secrets_query")
+_MODULES = (
+    "ppm_query", "mixing_query", "quality_query", "simhash_query", "toxicity_query", "secrets_query",
+)
 
 
 def load():
