@@ -3,7 +3,8 @@
 from importlib import import_module
 
 _MODULES = (
-    "ppm_query", "mixing_query", "quality_query", "simhash_query", "toxicity_query", "secrets_query",
+    "ppm_query", "mixing_query", "quality_query", "simhash_query", "toxicity_query", "token_files_query",
+    "packing_query", "secrets_query",
 )
 
 

@@ -216,12 +216,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def documents(texts: pa.Array, path: str, end_id: int = END_ID) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """(row, ids, last) in order; a long text in several pieces; the end id closes the last one."""
+def documents(texts: pa.Array, path: str, end_id: int = END_ID) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, ids with the end id) of every text, in order."""
     encode = encoder(path)
     end = np.array([end_id], encode.dtype)
+    held: list[np.ndarray] = []
     for row, ids, sizes, last in encode.encode(texts):
-        cuts = np.concatenate(([0], np.cumsum(sizes)))
+        if held or not last:
+            held.append(ids)
+            if last:
+                yield row, np.concatenate([*held, end])
+                held = []
+            continue
+        cuts = np.concatenate(([0], np.cumsum(sizes))).tolist()
         for k in range(len(sizes)):
-            own = ids[cuts[k] : cuts[k + 1]]
-            yield row + k, np.concatenate((own, end)) if last else own, last
+            yield row + k, np.concatenate((ids[cuts[k] : cuts[k + 1]], end))
