@@ -21,7 +21,7 @@ from renewscope.session import through_table
 
 #: Trees, bits of a string, and candidates a query looks at, copies in several trees counted, as a share of
 #: the vectors. Unclustered vectors need many: the neighbours of such a vector are hardly nearer than the rest.
-TREES, BITS, CANDIDATES, SEED = 16, 48, 2.0, 5
+TREES, BITS, CANDIDATES, SEED = 16, 48, 1.5, 5
 #: Shards of the index: so many at least, and of so many bytes (as doubles) at most; queries of one block.
 SHARDS, SHARD_BYTES, QUERY_BYTES = 8, 1 << 26, 1 << 24
 
