@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and character n-grams are hashed into buckets, each bucket has a learned vector, a
+Words, character n-grams and the mark of a word said again are hashed into buckets, each bucket has a learned vector, a
 document is the mean of its features' vectors, and a softmax layer gives the classes. Both
 layers are trained together by stochastic gradient descent in numpy on a bounded sample of
 labelled rows. Scoring takes the product of both layers, one number a bucket and class.
@@ -24,7 +24,7 @@ TRAIN_ROWS, TRAIN_BYTES = 2_500, 6_000_000
 
 
 def _buckets(texts: pa.Array):
-    for rows, hashes in features(texts, SPACED, SIZES):
+    for _, rows, hashes in features(texts, SPACED, SIZES, again=True):
         yield rows, (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from renewscope.llm.common import blocks, powers, utf8
 
 SEPARATOR = 0x20
+#: Kinds of features.
+WORDS, PREFIXED, GRAMS, AGAIN = 1, 2, 3, 4
 _BLOCK = 1 << 19
 _BASE = 0x100000001B3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -28,9 +30,10 @@ LETTERED[48:58], LETTERED[97:123], LETTERED[128:] = np.arange(48, 58), np.arange
 LETTERED[65:91] = np.arange(97, 123)
 
 
-def features(texts: pa.Array, mapped: np.ndarray, sizes: tuple[int, ...], prefixes: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, 64-bit hash) of every occurrence of a word, of its n-grams of `sizes` characters and of its
-    first `prefixes` characters; in parts of bounded size. Hashes of different kinds are kept apart."""
+def features(texts: pa.Array, mapped: np.ndarray, sizes: tuple[int, ...], prefixes: tuple[int, ...] = (), again: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, rows, 64-bit hashes) of every occurrence of a word, of its n-grams of `sizes` characters and of its
+    first `prefixes` characters; with `again` also one hash for every word that is the word before it.
+    In parts of bounded size; hashes of different kinds are kept apart."""
     data, ends = utf8(texts)
     for rows, starts, stops in blocks(ends, _BLOCK, data, mapped == SEPARATOR):
         lengths = stops - starts + 2
@@ -38,10 +41,10 @@ def features(texts: pa.Array, mapped: np.ndarray, sizes: tuple[int, ...], prefix
         stream = np.full(int(after[-1]), SEPARATOR, np.uint8)
         for start, stop, end in zip(starts.tolist(), stops.tolist(), after.tolist()):
             stream[end - (stop - start) - 1 : end - 1] = mapped[data[start:stop]]
-        yield from _hashed(stream, after, rows, sizes, prefixes)
+        yield from _hashed(stream, after, rows, sizes, prefixes, again)
 
 
-def _hashed(stream: np.ndarray, after: np.ndarray, rows: np.ndarray, sizes: tuple[int, ...], prefixes: tuple[int, ...]):
+def _hashed(stream: np.ndarray, after: np.ndarray, rows: np.ndarray, sizes: tuple[int, ...], prefixes: tuple[int, ...], again: bool):
     up, down = powers(_BASE, max(2 * _BLOCK, 1 << len(stream).bit_length()))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(stream) + 1, np.uint64)
@@ -57,7 +60,11 @@ def _hashed(stream: np.ndarray, after: np.ndarray, rows: np.ndarray, sizes: tupl
             return (h ^ (h >> np.uint64(29))) * _MIX
 
         word_rows = row_of(begin)
-        yield word_rows, kind(1, begin, finish)
+        words = kind(WORDS, begin, finish)
+        yield WORDS, word_rows, words
+        if again:
+            same = np.flatnonzero((words[1:] == words[:-1]) & (word_rows[1:] == word_rows[:-1]))
+            yield AGAIN, word_rows[same], np.full(len(same), _MIX * np.uint64(AGAIN))
         chars = np.flatnonzero((stream & 0xC0) != 0x80)
         inner = np.concatenate(([0], np.cumsum(apart[chars], dtype=np.int32)))
         bounds = np.concatenate((chars, [len(stream)]))
@@ -66,11 +73,11 @@ def _hashed(stream: np.ndarray, after: np.ndarray, rows: np.ndarray, sizes: tupl
             long = np.searchsorted(chars, finish) - at
             for n in prefixes:
                 fits = long > n
-                yield word_rows[fits], kind(2, begin[fits], bounds[at[fits] + n])
+                yield PREFIXED, word_rows[fits], kind(PREFIXED, begin[fits], bounds[at[fits] + n])
         for n in sizes:
             if len(chars) < n:
                 continue
             whole = inner[n - 1 : len(inner) - 1] == inner[1 : len(inner) - n + 1]  # no separator inside
             at = np.flatnonzero(whole)
             first = chars[at]
-            yield row_of(first), kind(3, first, bounds[at + n])
+            yield GRAMS, row_of(first), kind(GRAMS, first, bounds[at + n])

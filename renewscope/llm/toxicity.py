@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from renewscope.llm.common import bounded_rows, labelled_rows
 from renewscope.llm.hashtable import FrozenMap
-from renewscope.llm.subword import LETTERED, features
+from renewscope.llm.subword import LETTERED, WORDS, features
 from renewscope.session import through_table
 
 #: Labelled rows a class and bytes that voters are mined from; unlabelled sample for the label model, by bytes.
@@ -34,18 +34,61 @@ PATTERNS = (
     r"\byou(?:'re| are)? (?:an? )?\w+\b[!?]", r"\b(?:shut up|go away|get lost|drop dead)\b",
     r"\b[a-z]+\*{2,}[a-z]*\b", r"!{3,}", r"\b(?:hate|kill|hurt) (?:you|him|her|them)\b",
 )
-ROUNDS, CORRELATED = 25, 0.3
+ROUNDS, CORRELATED = 25, 0.6
+#: Share of a text's words from which an entry or feature is dense in it.
+DENSE = 0.01
 #: Hashed features: character n-grams and word beginnings, and how many of them the classifier keeps.
 SIZES, PREFIXES, MAX_FEATURES = (5,), (4, 5, 6), 50_000
-EPOCHS, RATE, DECAY, SEED = 30, 0.3, 1e-4, 11
+EPOCHS, RATE, DECAY, SEED = 15, 0.3, 1e-4, 11
 
+#: Odd factors of four hash functions.
+_SIGNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _WORD = re.compile(r"[^\W_]+")
 
 
 def entries(text: str) -> set[str]:
-    """Lexicon entries of a text: words, and word beginnings ending in *."""
-    words = set(_WORD.findall(text.lower()))
-    return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+    """Lexicon entries of a text: words, word beginnings ending in *, and either with a final @ if at
+    least DENSE of all words are of that entry, as a single one in a long text may be chance."""
+    words = Counter(_WORD.findall(text.lower()))
+    counts = Counter(words)
+    for w, n in words.items():
+        for size in STEMS:
+            if len(w) > size:
+                counts[w[:size] + "*"] += n
+    least = DENSE * words.total()
+    return counts.keys() | {e + "@" for e, n in counts.items() if n >= least}
+
+
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """Rows of a bounded sample (doc_id, text, ...) without copies and near copies, by id order.
+
+    A word that only one text and its copies hold would look like a lexicon entry. Four min-hashes
+    of three-word shingles are compared; a row stays if it is the first with each of its four."""
+
+    def signed(batches):
+        for batch in batches:
+            least = np.full((len(_SIGNS), batch.num_rows), np.iinfo(np.uint64).max, np.uint64)
+            for _, rows, words in features(batch.column(1), LETTERED, ()):
+                three = words[:-2] ^ _turned(words[1:-1], 17) ^ _turned(words[2:], 41) if len(words) > 2 else words[:0]
+                at = rows[:-2][rows[:-2] == rows[2:]] if len(words) > 2 else rows[:0]
+                three = three[rows[:-2] == rows[2:]] if len(words) > 2 else three
+                for k, factor in enumerate(_SIGNS):
+                    np.minimum.at(least[k], rows, words * factor | np.uint64(1 << 63))  # counts only if there is no shingle
+                    np.minimum.at(least[k], at, three * factor >> np.uint64(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in least]], ["doc_id", *[f"s{k}" for k in range(len(_SIGNS))]])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    signs = sample.select("doc_id", "text").mapInArrow(signed, f"doc_id {kind}, " + ", ".join(f"s{k} long" for k in range(len(_SIGNS)))).toPandas()
+    signs = signs.sort_values(list(signs.columns), ignore_index=True)
+    first = np.ones(len(signs), bool)
+    for k in range(len(_SIGNS)):
+        first &= ~signs[f"s{k}"].duplicated().to_numpy()
+    kept = sample.sparkSession.createDataFrame(signs.loc[first, ["doc_id"]].rename(columns={"doc_id": "kept"}), f"kept {kind}")
+    return sample.join(F.broadcast(kept), F.col("doc_id") == F.col("kept"), "left_semi")
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
 
 
 def mine(labelled: DataFrame, max_voters: int = MAX_VOTERS) -> list[tuple[str, float, float]]:
@@ -96,17 +139,16 @@ class LabelModel:
     prior: float
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """A voter that doesn't fire abstains; that none fires at all is the last voter's vote."""
         clean, toxic = self.fires
-        gain = self.weights * (np.log(toxic / clean) - np.log((1 - toxic) / (1 - clean)))
-        base = (self.weights * np.log((1 - toxic) / (1 - clean))).sum()
-        z = votes @ gain + base + np.log(self.prior / (1 - self.prior))
+        z = votes @ (self.weights * np.log(toxic / clean)) + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, strength: float = 50.0) -> LabelModel:
     """Expectation-maximisation from the mined shares, which stay as pseudo-documents.
 
-    After each round voters whose firing is correlated given the class, by the posterior, form
+    In each round voters whose firing is correlated given the class, by the posterior, form
     groups (chains of correlations above CORRELATED); a member's weight is one over the group's
     effective number of equal votes."""
     model = LabelModel(np.clip(start, 1e-4, 0.99), np.ones(votes.shape[1]), prior)
@@ -150,63 +192,96 @@ def _shared_weights(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
     return weights
 
 
+def _present(texts: pa.Array, known: FrozenMap | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, dense) of each feature that a text has; features are hashes, or rows of a map if one is given."""
+    words, keys = np.zeros(len(texts), np.int64), []
+    for kind, rows, hashes in features(texts, LETTERED, SIZES, PREFIXES):
+        if kind == WORDS:
+            words += np.bincount(rows, minlength=len(texts))
+        found = hashes if known is None else known.find(hashes)
+        if known is not None:
+            hit = found >= 0
+            rows, found = rows[hit], found[hit]
+        keys.append((rows, found.astype(np.uint64)))
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    rows, found = (np.concatenate(x) for x in zip(*keys))
+    order = np.lexsort((found, rows))
+    rows, found = rows[order], found[order]
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])))) if len(rows) else np.zeros(0, int)
+    n = np.diff(np.append(first, len(rows)))
+    rows, found = rows[first], found[first]
+    return rows, found, n >= DENSE * words[rows]
+
+
 def voted(sample: DataFrame, voters: Voters) -> pa.Table:
-    """fired (list), features (list of hashes) of every sampled text, in order of id."""
+    """fired, features (hashes) and which of them are dense, of every sampled text, in order of id."""
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 texts = batch.column(0).slice(k, 64)
                 fired = pa.array([voters.fire(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
-                parts = list(features(texts, LETTERED, SIZES, PREFIXES))
-                rows, hashes = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, int), np.zeros(0, np.uint64))
-                pairs = np.unique(np.stack([rows.astype(np.uint64), hashes]), axis=1) if len(rows) else np.zeros((2, 0), np.uint64)
-                cuts = np.searchsorted(pairs[0], np.arange(len(texts) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([fired, pa.ListArray.from_arrays(pa.array(cuts), pa.array(pairs[1].view(np.int64)))], ["fired", "features"])
+                rows, found, dense = _present(texts)
+                cuts = pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (found.view(np.int64), dense)]
+                yield pa.RecordBatch.from_arrays([fired, *lists], ["fired", "features", "dense"])
 
-    return sample.mapInArrow(run, "fired array<int>, features array<long>").toArrow()
+    return sample.mapInArrow(run, "fired array<int>, features array<long>, dense array<boolean>").toArrow()
 
 
 @dataclass
 class Classifier:
-    """Weights of hashed features that a text has or hasn't."""
+    """Weights of hashed features that a text has, and further ones of those that are dense in it."""
 
     features: FrozenMap
     weights: np.ndarray
     bias: float
 
+    def score(self, texts: pa.Array) -> np.ndarray:
+        rows, at, dense = _present(texts, self.features)
+        gain = self.weights[at.astype(np.int64)]
+        z = self.bias + np.bincount(rows, gain[:, 0] + np.where(dense, gain[:, 1], 0.0), len(texts)) if len(rows) else np.full(len(texts), self.bias)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
 
-def fit_classifier(rows: np.ndarray, hashes: np.ndarray, q: np.ndarray, max_features: int = MAX_FEATURES) -> Classifier:
+def fit_classifier(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, q: np.ndarray, max_features: int = MAX_FEATURES) -> Classifier:
     """Logistic regression on posterior labels; features kept are those that tell most about them."""
-    keys, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
-    inside = np.bincount(at, q[rows], len(keys))
-    share = q.mean() if len(q) else 0.0
-    # Information of a feature's share of toxic documents against the whole; rare ones are left out.
+    keys, at = np.unique(hashes, return_inverse=True)
+    share, size = q.mean() if len(q) else 0.0, len(q)
+    # A column for having a feature, one for its being dense.
+    rows, column = np.concatenate((rows, rows[dense])), np.concatenate((2 * at, 2 * at[dense] + 1))
+    n = np.bincount(column, minlength=2 * len(keys))
+    inside = np.bincount(column, q[rows], 2 * len(keys))
+    # Information of a column's share of toxic documents against the whole; rare ones are left out.
     p = (inside + share) / (n + 1.0)
     told = n * (p * np.log(p / max(share, 1e-9)) + (1 - p) * np.log(np.maximum(1 - p, 1e-9) / max(1 - share, 1e-9)))
     kept = np.flatnonzero((n >= 3) & (told > 6.0))
     kept = np.sort(kept[np.argsort(-told[kept], kind="stable")[:max_features]])
-    number = np.full(len(keys), -1)
+    number = np.full(2 * len(keys), -1)
     number[kept] = np.arange(len(kept))
-    col = number[at]
-    rows, col = rows[col >= 0], col[col >= 0]
+    column = number[column]
+    rows, column = rows[column >= 0], column[column >= 0]
     order = np.argsort(rows, kind="stable")
-    rows, col = rows[order], col[order]
+    rows, column = rows[order], column[order]
     weights, bias = np.zeros(len(kept)), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    rng, size = np.random.default_rng(SEED), len(q)
+    rng = np.random.default_rng(SEED)
     cuts = np.searchsorted(rows, np.arange(size + 1))
     seen = np.zeros(len(kept))  # squared gradients, so that rare features learn as fast as common ones
     step = 0
     for _ in range(EPOCHS):
         for i in rng.permutation(size):
-            c = col[cuts[i] : cuts[i + 1]]
+            c = column[cuts[i] : cuts[i + 1]]
             error = 1 / (1 + np.exp(-np.clip(weights[c].sum() + bias, -30, 30))) - q[i]
             if len(c):
                 seen[c] += error * error
                 weights[c] -= RATE * (error / np.sqrt(seen[c] + 1e-2) + DECAY * weights[c]) / max(1.0, len(c) ** 0.5)
             step += 1
             bias -= 0.05 * error / (1 + step / size)
-    return Classifier(FrozenMap(keys[kept], np.zeros(0)), weights, bias)
+    both = np.unique(kept // 2)
+    gain = np.zeros((len(both), 2))
+    gain[np.searchsorted(both, kept // 2), kept % 2] = weights
+    return Classifier(FrozenMap(keys[both], np.zeros(0)), gain, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES, **bounds) -> Classifier:
@@ -215,13 +290,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES,
     `docs` has doc_id and text; labels has doc_id and label. Without labels of both kinds there are
     no lexicon voters, and scores stay near the prior. Null texts and ids are not sampled."""
     labelled = through_table(labelled_rows(docs, labels, bounds.get("max_rows", MINE_ROWS), bounds.get("max_bytes", MINE_BYTES)), "toxic-labelled")
+    labelled = through_table(distinct_texts(labelled), "toxic-distinct")
     lexicon = mine(labelled)
     counts = {r["label"]: r["n"] for r in labels.where("label IN (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
     prior = float(np.clip((counts.get(1, 0) + 1) / (sum(counts.values()) + 10), 1e-3, 0.5))
     voters = Voters([e for e, _, _ in lexicon])
     # Labelled rows of both kinds and as many bytes of any rows: few documents are toxic.
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    plain = bounded_rows(known, F.col("doc_id"), F.lit(0), F.octet_length("text") + 1, sample_bytes)
+    plain = bounded_rows(known, F.col("doc_id"), F.lit(0), F.octet_length("text") + 200, sample_bytes)
+    plain = distinct_texts(through_table(plain, "toxic-sample"))
     rows = voted(plain.orderBy("doc_id").select("text"), voters)
     more = voted(labelled.where("label = 1").orderBy("doc_id").select("text"), voters)
     rows = pa.concat_tables([rows, more])
@@ -229,12 +306,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES,
     votes = np.zeros((size, len(voters)))
     fired = rows.column("fired").combine_chunks()
     votes[np.repeat(np.arange(size), np.diff(fired.offsets.to_numpy())), fired.values.to_numpy()] = 1
-    start = np.array([[c for _, _, c in lexicon] + [0.02] * len(PATTERNS), [t for _, t, _ in lexicon] + [0.03] * len(PATTERNS)])
+    votes = np.column_stack((votes, votes.sum(axis=1) == 0))
+    start = np.array([[c for _, _, c in lexicon] + [0.02] * len(PATTERNS) + [0.9], [t for _, t, _ in lexicon] + [0.03] * len(PATTERNS) + [0.2]])
     model = fit_label_model(votes, start, prior)
     q = model.posterior(votes)
     lists = rows.column("features").combine_chunks()
     of = np.repeat(np.arange(size), np.diff(lists.offsets.to_numpy()))
-    return fit_classifier(of, lists.values.to_numpy().view(np.uint64), q)
+    dense = rows.column("dense").combine_chunks().values.to_numpy(zero_copy_only=False)
+    return fit_classifier(of, lists.values.to_numpy().view(np.uint64), dense, q)
 
 
 def toxicity(spark, model: Classifier, text: Column) -> Column:
@@ -243,16 +322,6 @@ def toxicity(spark, model: Classifier, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        model, z = shared.value, np.full(len(texts), shared.value.bias)
-        found_rows, found = [], []
-        for rows, hashes in features(texts, LETTERED, SIZES, PREFIXES):
-            at = model.features.find(hashes)
-            hit = at >= 0
-            found_rows.append(rows[hit]), found.append(at[hit])
-        if found:
-            pairs = np.unique(np.concatenate(found_rows).astype(np.int64) * len(model.weights) + np.concatenate(found)) if len(model.weights) else np.zeros(0, np.int64)
-            if len(pairs):
-                z += np.bincount(pairs // len(model.weights), model.weights[pairs % len(model.weights)], len(texts))
-        return pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return pa.array(shared.value.score(texts))
 
     return scored(F.coalesce(text, F.lit("")))
