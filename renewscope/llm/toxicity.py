@@ -35,6 +35,8 @@ PATTERNS = (
     r"\b[a-z]+\*{2,}[a-z]*\b", r"!{3,}", r"\b(?:hate|kill|hurt) (?:you|him|her|them)\b",
 )
 ROUNDS, CORRELATED = 25, 0.6
+#: Accuracy of a label where one is known.
+TRUST = 0.98
 #: Share of a text's words from which an entry or feature is dense in it.
 DENSE = 0.01
 #: Hashed features: character n-grams and word beginnings, and how many of them the classifier keeps.
@@ -108,10 +110,10 @@ def mine(labelled: DataFrame, max_voters: int = MAX_VOTERS) -> list[tuple[str, f
     if len(totals) < 2:
         return []
     per = labelled.select("label", "text").mapInArrow(counted, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    toxic, clean = F.col("toxic") / F.lit(totals[1]), (F.col("clean") + F.lit(0.5)) / F.lit(totals[0] + 1)
+    toxic, clean = F.col("toxic") / F.lit(totals[1]), (F.col("clean") + F.lit(2.0)) / F.lit(totals[0] + 4)
     telling = per.where((F.col("toxic") >= LEAST_DOCS) & (toxic / clean >= LEAST_LIFT))
     best = telling.orderBy((toxic * F.log(toxic / clean)).desc(), "entry").limit(max_voters).collect()
-    return [(r["entry"], r["toxic"] / totals[1], (r["clean"] + 0.5) / (totals[0] + 1)) for r in best]
+    return [(r["entry"], r["toxic"] / totals[1], (r["clean"] + 2.0) / (totals[0] + 4)) for r in best]
 
 
 class Voters:
@@ -138,29 +140,32 @@ class LabelModel:
     weights: np.ndarray
     prior: float
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """A voter that doesn't fire abstains; that none fires at all is the last voter's vote."""
+    def posterior(self, votes: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """A voter that doesn't fire abstains; that none fires at all is the last voter's vote; a known
+        label is one more vote of accuracy TRUST."""
         clean, toxic = self.fires
         z = votes @ (self.weights * np.log(toxic / clean)) + np.log(self.prior / (1 - self.prior))
+        z += np.where(known < 0, 0, 2 * known - 1) * np.log(TRUST / (1 - TRUST))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, strength: float = 50.0) -> LabelModel:
+def fit_label_model(votes: np.ndarray, known: np.ndarray, start: np.ndarray, prior: float, strength: float = 50.0) -> LabelModel:
     """Expectation-maximisation from the mined shares, which stay as pseudo-documents.
 
-    In each round voters whose firing is correlated given the class, by the posterior, form
-    groups (chains of correlations above CORRELATED); a member's weight is one over the group's
-    effective number of equal votes."""
+    `known`: 0 or 1 where a row has a label, which counts as one more voter of accuracy TRUST and
+    keeps voters from confirming each other; -1 elsewhere. In each round voters whose firing is
+    correlated given the class, by the posterior, form groups (chains of correlations above
+    CORRELATED); a member's weight is one over the group's effective number of equal votes."""
     model = LabelModel(np.clip(start, 1e-4, 0.99), np.ones(votes.shape[1]), prior)
     for _ in range(ROUNDS):
-        q = model.posterior(votes)
-        model.weights = _shared_weights(votes, q)
-        q = model.posterior(votes)
+        model.weights = _shared_weights(votes, model.posterior(votes, known))
+        q = model.posterior(votes, known)
         fires = [(w @ votes + strength * s) / (w.sum() + strength) for w, s in ((1 - q, start[0]), (q, start[1]))]
         fires = np.clip(np.array(fires), 1e-4, 0.99)
         done = np.abs(fires - model.fires).max() < 1e-5
         model.fires = fires
-        model.prior = float(np.clip((q.sum() + strength * prior) / (len(q) + strength), 1e-3, 0.5))
+        free = known < 0  # labelled rows are chosen by label, so they don't tell the prior
+        model.prior = float(np.clip((q[free].sum() + strength * prior) / (free.sum() + strength), 1e-3, 0.5))
         if done:
             break
     return model
@@ -215,7 +220,7 @@ def _present(texts: pa.Array, known: FrozenMap | None = None) -> tuple[np.ndarra
 
 
 def voted(sample: DataFrame, voters: Voters) -> pa.Table:
-    """fired, features (hashes) and which of them are dense, of every sampled text, in order of id."""
+    """fired, features (hashes), which of them are dense, and label of every sampled row (text, label)."""
 
     def run(batches):
         for batch in batches:
@@ -225,9 +230,9 @@ def voted(sample: DataFrame, voters: Voters) -> pa.Table:
                 rows, found, dense = _present(texts)
                 cuts = pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (found.view(np.int64), dense)]
-                yield pa.RecordBatch.from_arrays([fired, *lists], ["fired", "features", "dense"])
+                yield pa.RecordBatch.from_arrays([fired, *lists, batch.column(1).slice(k, 64)], ["fired", "features", "dense", "label"])
 
-    return sample.mapInArrow(run, "fired array<int>, features array<long>, dense array<boolean>").toArrow()
+    return sample.mapInArrow(run, "fired array<int>, features array<long>, dense array<boolean>, label int").toArrow()
 
 
 @dataclass
@@ -295,21 +300,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES,
     counts = {r["label"]: r["n"] for r in labels.where("label IN (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
     prior = float(np.clip((counts.get(1, 0) + 1) / (sum(counts.values()) + 10), 1e-3, 0.5))
     voters = Voters([e for e, _, _ in lexicon])
-    # Labelled rows of both kinds and as many bytes of any rows: few documents are toxic.
+    # Labelled rows and further rows of any kind.
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     plain = bounded_rows(known, F.col("doc_id"), F.lit(0), F.octet_length("text") + 200, sample_bytes)
-    plain = distinct_texts(through_table(plain, "toxic-sample"))
-    rows = voted(plain.orderBy("doc_id").select("text"), voters)
-    more = voted(labelled.where("label = 1").orderBy("doc_id").select("text"), voters)
-    rows = pa.concat_tables([rows, more])
+    plain = distinct_texts(through_table(plain, "toxic-sample")).join(labelled.select("doc_id"), "doc_id", "left_anti")
+    sample = plain.select("doc_id", "text", F.lit(-1).alias("label")).unionByName(labelled.select("doc_id", "text", "label"))
+    rows = voted(sample.orderBy("doc_id", "label").select("text", "label"), voters)
     size = rows.num_rows
     votes = np.zeros((size, len(voters)))
     fired = rows.column("fired").combine_chunks()
     votes[np.repeat(np.arange(size), np.diff(fired.offsets.to_numpy())), fired.values.to_numpy()] = 1
     votes = np.column_stack((votes, votes.sum(axis=1) == 0))
     start = np.array([[c for _, _, c in lexicon] + [0.02] * len(PATTERNS) + [0.9], [t for _, t, _ in lexicon] + [0.03] * len(PATTERNS) + [0.2]])
-    model = fit_label_model(votes, start, prior)
-    q = model.posterior(votes)
+    given = rows.column("label").to_numpy()
+    model = fit_label_model(votes, given, start, prior)
+    q = model.posterior(votes, given)
     lists = rows.column("features").combine_chunks()
     of = np.repeat(np.arange(size), np.diff(lists.offsets.to_numpy()))
     dense = rows.column("dense").combine_chunks().values.to_numpy(zero_copy_only=False)
