@@ -24,8 +24,9 @@ from renewscope.llm.hashtable import FrozenMap
 from renewscope.llm.subword import LETTERED, WORDS, features
 from renewscope.session import through_table
 
-#: Labelled rows a class and bytes that voters are mined from; unlabelled sample for the label model, by bytes.
-MINE_ROWS, MINE_BYTES, SAMPLE_BYTES = 6_000, 16_000_000, 24_000_000
+#: Labelled rows a class and bytes that voters are mined from; further rows for the label model and the
+#: classifier, by bytes, where each row counts ROW_BYTES more.
+MINE_ROWS, MINE_BYTES, SAMPLE_BYTES, ROW_BYTES = 5_000, 12_000_000, 12_000_000, 1_000
 MAX_VOTERS, STEMS = 400, (4, 5, 6, 7)
 #: A lexicon entry is in so many toxic documents at least, and so many times as often as in clean ones.
 LEAST_DOCS, LEAST_LIFT = 5, 8.0
@@ -99,9 +100,9 @@ def mine(labelled: DataFrame, max_voters: int = MAX_VOTERS) -> list[tuple[str, f
     Counted in Spark by entry; only the best ones come to the driver."""
 
     def counted(batches):
-        for batch in batches:
+        for part in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
             n = {0: Counter(), 1: Counter()}
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 n[label].update(entries(text))
             keys = list(n[0].keys() | n[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([n[c][k] for k in keys], pa.int64()) for c in (0, 1)]], ["entry", "clean", "toxic"])
@@ -219,20 +220,47 @@ def _present(texts: pa.Array, known: FrozenMap | None = None) -> tuple[np.ndarra
     return rows, found, n >= DENSE * words[rows]
 
 
-def voted(sample: DataFrame, voters: Voters) -> pa.Table:
-    """fired, features (hashes), which of them are dense, and label of every sampled row (text, label)."""
+def cast_votes(sample: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, label, votes) of every sampled row (at, text, label), in order of number. The last voter
+    fires where no other does."""
 
     def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                texts = batch.column(0).slice(k, 64)
-                fired = pa.array([voters.fire(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
-                rows, found, dense = _present(texts)
-                cuts = pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (found.view(np.int64), dense)]
-                yield pa.RecordBatch.from_arrays([fired, *lists, batch.column(1).slice(k, 64)], ["fired", "features", "dense", "label"])
+        for part in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            fired = [voters.fire(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fired, pa.list_(pa.int32()))], ["at", "label", "fired"])
+
+    rows = sample.select("at", "text", "label").mapInArrow(run, "at long, label int, fired array<int>").toArrow().sort_by("at")
+    fired = rows.column("fired").combine_chunks()
+    votes = np.zeros((rows.num_rows, len(voters) + 1), np.float32)
+    votes[np.repeat(np.arange(rows.num_rows), np.diff(fired.offsets.to_numpy())), fired.flatten().to_numpy()] = 1
+    votes[:, -1] = votes.sum(axis=1) == 0
+    return rows.column("at").to_numpy(), rows.column("label").to_numpy(), votes
+
 
-    return sample.mapInArrow(run, "fired array<int>, features array<long>, dense array<boolean>, label int").toArrow()
+def telling_features(sample: DataFrame, at: np.ndarray, q: np.ndarray, max_features: int = MAX_FEATURES) -> list[tuple[int, int]]:
+    """(hash, dense) of the features whose share of toxic documents, by posterior, tells most against the
+    whole. Counted in Spark by feature; only the best ones come to the driver."""
+    spark = sample.sparkSession
+    known = spark.sparkContext.broadcast((at, q.astype(np.float32)))  # one number a sampled row
+
+    def run(batches):
+        numbers, q = known.value
+        for part in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            own = q[np.searchsorted(numbers, part.column(0).to_numpy())]
+            rows, found, dense = _present(part.column(1))
+            rows, found, dense = np.concatenate((rows, rows[dense])), np.concatenate((found, found[dense])), np.repeat([0, 1], [len(rows), int(dense.sum())])
+            for flag in (0, 1):
+                keys, which, n = np.unique(found[dense == flag], return_inverse=True, return_counts=True)
+                inside = np.bincount(which, own[rows[dense == flag]], len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), flag, np.int32)), pa.array(n), pa.array(inside)], ["feature", "dense", "n", "inside"])
+
+    share = min(max(float(q.mean()) if len(q) else 0.0, 1e-6), 0.999)
+    counted = sample.select("at", "text").mapInArrow(run, "feature long, dense int, n long, inside double").groupBy("feature", "dense").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    p = (F.col("inside") + share) / (F.col("n") + 1.0)
+    clean = F.greatest(1 - p, F.lit(1e-9))
+    told = F.col("n") * (p * F.log(p / share) + clean * F.log(clean / (1 - share)))
+    best = counted.where("n >= 3").select("feature", "dense", told.alias("told")).where("told > 6").orderBy(F.desc("told"), "feature", "dense").limit(max_features)
+    return [(r["feature"], r["dense"]) for r in best.collect()]
 
 
 @dataclass
@@ -250,43 +278,42 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_classifier(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, q: np.ndarray, max_features: int = MAX_FEATURES) -> Classifier:
-    """Logistic regression on posterior labels; features kept are those that tell most about them."""
-    keys, at = np.unique(hashes, return_inverse=True)
-    share, size = q.mean() if len(q) else 0.0, len(q)
-    # A column for having a feature, one for its being dense.
-    rows, column = np.concatenate((rows, rows[dense])), np.concatenate((2 * at, 2 * at[dense] + 1))
-    n = np.bincount(column, minlength=2 * len(keys))
-    inside = np.bincount(column, q[rows], 2 * len(keys))
-    # Information of a column's share of toxic documents against the whole; rare ones are left out.
-    p = (inside + share) / (n + 1.0)
-    told = n * (p * np.log(p / max(share, 1e-9)) + (1 - p) * np.log(np.maximum(1 - p, 1e-9) / max(1 - share, 1e-9)))
-    kept = np.flatnonzero((n >= 3) & (told > 6.0))
-    kept = np.sort(kept[np.argsort(-told[kept], kind="stable")[:max_features]])
-    number = np.full(2 * len(keys), -1)
-    number[kept] = np.arange(len(kept))
-    column = number[column]
-    rows, column = rows[column >= 0], column[column >= 0]
-    order = np.argsort(rows, kind="stable")
-    rows, column = rows[order], column[order]
-    weights, bias = np.zeros(len(kept)), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+def fit_classifier(sample: DataFrame, at: np.ndarray, q: np.ndarray, chosen: list[tuple[int, int]]) -> Classifier:
+    """Logistic regression on posterior labels, by stochastic gradients over the sampled rows."""
+    keys = np.unique(np.array([f for f, _ in chosen], np.int64).view(np.uint64))
+    model = Classifier(FrozenMap(keys, np.zeros(0)), np.zeros((len(keys), 2)), 0.0)
+    used = np.zeros(2 * len(keys), bool)
+    used[[2 * int(np.searchsorted(keys, np.uint64(f % (1 << 64)))) + d for f, d in chosen]] = True
+    shared = sample.sparkSession.sparkContext.broadcast((model.features, used))  # at most MAX_FEATURES keys
+
+    def run(batches):
+        features_, used = shared.value
+        for part in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            rows, found, dense = _present(part.column(1), features_)
+            found = 2 * found.astype(np.int64)
+            rows, found = np.concatenate((rows, rows[dense])), np.concatenate((found, found[dense] + 1))
+            rows, found = rows[used[found]], found[used[found]]
+            order = np.lexsort((found, rows))
+            cuts = np.searchsorted(rows[order], np.arange(part.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(found[order].astype(np.int32)))], ["at", "columns"])
+
+    lists = sample.select("at", "text").mapInArrow(run, "at long, columns array<int>").toArrow().sort_by("at").column("columns").combine_chunks()
+    cuts, columns, size = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0), lists.flatten().to_numpy(), len(q)
+    share = q.mean() if size else 0.0
+    weights, bias = np.zeros(2 * len(keys)), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     rng = np.random.default_rng(SEED)
-    cuts = np.searchsorted(rows, np.arange(size + 1))
-    seen = np.zeros(len(kept))  # squared gradients, so that rare features learn as fast as common ones
+    seen = np.zeros(2 * len(keys))  # squared gradients, so that rare features learn as fast as common ones
     step = 0
     for _ in range(EPOCHS):
         for i in rng.permutation(size):
-            c = column[cuts[i] : cuts[i + 1]]
+            c = columns[cuts[i] : cuts[i + 1]]
             error = 1 / (1 + np.exp(-np.clip(weights[c].sum() + bias, -30, 30))) - q[i]
             if len(c):
                 seen[c] += error * error
                 weights[c] -= RATE * (error / np.sqrt(seen[c] + 1e-2) + DECAY * weights[c]) / max(1.0, len(c) ** 0.5)
             step += 1
             bias -= 0.05 * error / (1 + step / size)
-    both = np.unique(kept // 2)
-    gain = np.zeros((len(both), 2))
-    gain[np.searchsorted(both, kept // 2), kept % 2] = weights
-    return Classifier(FrozenMap(keys[both], np.zeros(0)), gain, bias)
+    return Classifier(model.features, weights.reshape(-1, 2), bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES, **bounds) -> Classifier:
@@ -302,23 +329,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES,
     voters = Voters([e for e, _, _ in lexicon])
     # Labelled rows and further rows of any kind.
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    plain = bounded_rows(known, F.col("doc_id"), F.lit(0), F.octet_length("text") + 200, sample_bytes)
+    plain = bounded_rows(known, F.col("doc_id"), F.lit(0), F.octet_length("text") + ROW_BYTES, sample_bytes)
     plain = distinct_texts(through_table(plain, "toxic-sample")).join(labelled.select("doc_id"), "doc_id", "left_anti")
     sample = plain.select("doc_id", "text", F.lit(-1).alias("label")).unionByName(labelled.select("doc_id", "text", "label"))
-    rows = voted(sample.orderBy("doc_id", "label").select("text", "label"), voters)
-    size = rows.num_rows
-    votes = np.zeros((size, len(voters)))
-    fired = rows.column("fired").combine_chunks()
-    votes[np.repeat(np.arange(size), np.diff(fired.offsets.to_numpy())), fired.values.to_numpy()] = 1
-    votes = np.column_stack((votes, votes.sum(axis=1) == 0))
+    sample = through_table(sample.orderBy("doc_id", "label", "text").withColumn("at", F.monotonically_increasing_id()), "toxic-rows")
+    at, given, votes = cast_votes(sample, voters)
     start = np.array([[c for _, _, c in lexicon] + [0.02] * len(PATTERNS) + [0.9], [t for _, t, _ in lexicon] + [0.03] * len(PATTERNS) + [0.2]])
-    given = rows.column("label").to_numpy()
-    model = fit_label_model(votes, given, start, prior)
-    q = model.posterior(votes, given)
-    lists = rows.column("features").combine_chunks()
-    of = np.repeat(np.arange(size), np.diff(lists.offsets.to_numpy()))
-    dense = rows.column("dense").combine_chunks().values.to_numpy(zero_copy_only=False)
-    return fit_classifier(of, lists.values.to_numpy().view(np.uint64), dense, q)
+    q = fit_label_model(votes, given, start, prior).posterior(votes, given)
+    return fit_classifier(sample, at, q, telling_features(sample, at, q))
 
 
 def toxicity(spark, model: Classifier, text: Column) -> Column:
