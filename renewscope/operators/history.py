@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from renewscope.functions.scalar import safe_ratio
 from renewscope.operators.quantiles import value_bucket
-from renewscope.operators.skew import HOT_SHARE, hot_row_keys
 from renewscope.operators.timeline import along_timeline, running_total
 from renewscope.session import through_table
 
@@ -128,22 +127,17 @@ def _ranked_grid(counted: DataFrame, at: str) -> DataFrame:
     return kept.withColumn("rank", F.explode(_middle_ranks(F.col("_total")))).drop("_total")
 
 
-def small_history_medians(points: DataFrame, txn: DataFrame, at: str) -> DataFrame:
-    """Medians for users whose number of distinct amounts is small: each date meets
-    each distinct amount of its user once."""
-    daily = _daily(txn, F.col("actual_amount_paid").alias("value"))
-    grid = points.join(daily.select("msno", "value").distinct(), "msno")
-    return _median_of(_pick(_ranked_grid(running_counts(daily, grid, "value", at), at), "value", at), "value", at)
-
-
-def large_history_medians(points: DataFrame, txn: DataFrame, at: str) -> DataFrame:
-    """Medians for users with any number of distinct amounts.
+def history_medians(points: DataFrame, txn: DataFrame, at: str = "dec") -> DataFrame:
+    """(msno, at, median_hist_paid): exact median of amounts paid strictly before, for every
+    user alike, whatever the number of dates and distinct amounts.
 
     Amounts are counted in coarse buckets first, whose number is bounded; the bucket
     holding the middle rank is counted in finer buckets and only the last, narrow one
     by value. Each level is a running total per (user, bucket), so a user's rows spread
     over buckets and dates are never paired with transactions.
     """
+    points = points.select("msno", at).distinct()
+    txn = txn.where(F.col("actual_amount_paid").isNotNull())
     steps = (64, 64 * 64)
     value = F.col("actual_amount_paid")
     rows = txn.select(
@@ -166,18 +160,6 @@ def large_history_medians(points: DataFrame, txn: DataFrame, at: str) -> DataFra
     return _median_of(picked, "value", at)
 
 
-def history_medians(points: DataFrame, txn: DataFrame, at: str = "dec", share: float = HOT_SHARE) -> DataFrame:
-    """(msno, at, median_hist_paid): exact median of amounts paid strictly before."""
-    dates = points.select("msno", at).distinct()
-    paid = txn.where(F.col("actual_amount_paid").isNotNull())
-    hot = hot_row_keys(paid, "msno", share)
-    if not hot:
-        return small_history_medians(dates, paid, at)
-    is_hot = F.col("msno").isin(hot)
-    return small_history_medians(dates.where(~is_hot), paid.where(~is_hot), at).unionByName(
-        large_history_medians(dates.where(is_hot), paid.where(is_hot), at))
-
-
 def with_history(points: DataFrame, txn: DataFrame, txn_days: DataFrame, at: str = "dec") -> DataFrame:
     """All transaction features of each point."""
     keys = ["msno", at]

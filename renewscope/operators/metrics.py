@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -192,11 +194,37 @@ def best_tau(pred: DataFrame, taus: Sequence[float] = TAU_GRID, groups: Sequence
 
 
 def weight_scores(pred: DataFrame, weights: Sequence[Sequence[float]], groups: Sequence[str] = ()) -> DataFrame:
-    """Macro-F1 of arg-max over probs * w for every weight vector, by its position."""
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in weights])
-    wide = pred.select(*groups, "y", "probs", F.posexplode(table).alias("weight_id", "w"))
-    scored = wide.withColumn("p", weighted_argmax(F.col("probs"), F.col("w")))
-    return score_block(scored, [*groups, "weight_id"])
+    """Macro-F1 of arg-max over probs * w for every weight vector, by its position.
+
+    Rows are not copied for each vector: a task counts (truth, class) for all vectors over
+    its rows, and only these counts leave it.
+    """
+    table = np.asarray(weights, np.float64)
+    size = table.shape[1]
+
+    def count(batches):
+        for part in (b.slice(k, 2048) for b in batches for k in range(0, b.num_rows, 2048)):
+            keys = list(zip(*[part.column(i).to_pylist() for i in range(len(groups))])) if groups else [()] * part.num_rows
+            truth = part.column(len(groups)).to_numpy(zero_copy_only=False).astype(np.int64)
+            probs = part.column(len(groups) + 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            for key in dict.fromkeys(keys):
+                own = np.array([k == key for k in keys])
+                counts = np.zeros((len(table), size * size), np.int64)
+                for at in range(0, len(table), 256):
+                    best = (table[at : at + 256, None, :] * probs[None, own, :]).argmax(axis=2)
+                    cell = truth[own][None, :] * size + best
+                    cell += np.arange(len(cell))[:, None] * size * size
+                    counts[at : at + 256] = np.bincount(cell.ravel(), minlength=len(best) * size * size).reshape(len(best), -1)
+                vector, cell = np.nonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * len(vector), part.schema.field(i).type) for i, k in enumerate(key)]
+                    + [pa.array(x, pa.int32()) for x in (vector, cell // size, cell % size)] + [pa.array(counts[vector, cell])],
+                    [*groups, "weight_id", "y", "p", "n"])
+
+    kinds = "".join(f"`{g}` {pred.schema[g].dataType.simpleString()}, " for g in groups)
+    counted = pred.select(*groups, "y", "probs").mapInArrow(count, kinds + "weight_id int, y int, p int, n long")
+    conf = counted.groupBy(*groups, "weight_id", "y", "p").agg(F.sum("n").alias("n"))
+    return scores_from_confusion(conf, [*groups, "weight_id"])
 
 
 def best_weights(pred: DataFrame, weights: Sequence[Sequence[float]], groups: Sequence[str] = ()) -> DataFrame:

@@ -215,12 +215,14 @@ def bootstrap_interval(pairs: DataFrame, draws: int = 10_000, seed: int = 42, le
         F.percentile("m", tail).alias("boot_lo"), F.percentile("m", 1 - tail).alias("boot_hi"))
 
 
-def evidence(p_holm: Column, p_raw: Column, alpha: float = 0.05) -> Column:
-    return (
-        F.when(p_holm < alpha, F.lit("statistically significant after Holm adjustment"))
-        .when(p_raw < alpha, F.lit("nominally significant (raw) but NOT after Holm adjustment"))
-        .otherwise(F.lit("not statistically significant"))
-    )
+#: How far a difference holds up: not at all, taken alone, and among all contrasts of its family.
+STRENGTH = ("none", "alone", "in_family")
+
+
+def strength(p_holm: Column, p_raw: Column, alpha: float = 0.05) -> Column:
+    """One step up for each of the two p-values below alpha; an adjusted one is never the smaller."""
+    passed = [F.coalesce(p < alpha, F.lit(False)).cast("int") for p in (p_raw, p_holm)]
+    return F.element_at(F.array(*[F.lit(x) for x in STRENGTH]), passed[0] + passed[1] + 1)
 
 
 def paired_tests(pairs: DataFrame) -> DataFrame:
@@ -231,5 +233,5 @@ def paired_tests(pairs: DataFrame) -> DataFrame:
     return table.withColumns({
         "ci_text": F.format_string("[%.4f, %.4f]", "ci_lo", "ci_hi"),
         "wins_text": F.format_string("%d/%d", "wins_a", "n"),
-        "evidence": evidence(F.col("p_t_holm"), F.col("p_t")),
+        "strength": strength(F.col("p_t_holm"), F.col("p_t")),
     })

@@ -38,15 +38,3 @@ def join_unique(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], weight
     hot_part = facts.join(F.broadcast(hot_lookup), list(keys))
     cold_part = facts.join(F.broadcast(hot), list(keys), "left_anti").join(cold_lookup, list(keys))
     return hot_part.unionByName(cold_part)
-
-
-def hot_row_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Keys that own at least `share` of the raw rows, counted now.
-
-    There are at most 1 / share of them whatever the data, so the list fits the driver
-    and a filter; knowing it beforehand keeps the special treatment of hot keys out of
-    plans that do not need it.
-    """
-    least = F.greatest(rows.agg(F.count(F.lit(1))).scalar() * F.lit(share), F.lit(2.0))
-    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return [r[0] for r in counted.where(F.col("_n") >= least).select(key).collect()]

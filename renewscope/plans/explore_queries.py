@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from renewscope.config import MODEL_CLASSES
+from renewscope.config import MODEL_CLASSES, ORDERS_STUDY
 from renewscope.functions.scalar import clip, finite
 from renewscope.operators import explore as X
 from renewscope.operators.cohort import distinct_transactions
@@ -95,11 +95,11 @@ def ratio_histogram_by_class(inp):
         "left", "left_edge")
 
 
-@query("active_days_histogram", "bin:i n:i", """
-SELECT CAST(least(floor((post_n_days - 1) / (CAST(30 AS DOUBLE) / 30)), 29) AS INT) AS bin, count(*) AS n
-FROM ev WHERE post_n_days BETWEEN 1 AND 31 GROUP BY 1""")
+@query("active_days_histogram", "bin:i n:i",
+       f"SELECT CAST(post_n_days - 1 AS INT) AS bin, count(*) AS n FROM ev WHERE post_n_days BETWEEN 1 AND {ORDERS_STUDY.window_days} GROUP BY 1")
 def active_days_histogram(inp):
-    return X.histogram(labelled_events(inp), "post_n_days", 1, 31, 30)
+    days = inp.cfg.window_days
+    return X.histogram(labelled_events(inp), "post_n_days", 1, days + 1, days)
 
 
 @query("box_statistics_by_class", "label q1:g median:g q3:g whisker_low:g whisker_high:g", """

@@ -220,7 +220,8 @@ def weight_vectors(n: int) -> list[list[float]]:
     return [[1.0] * 4] + [[draw(i, j) for j in range(4)] for i in range(1, n)]
 
 
-_WEIGHTS = weight_vectors(40)
+#: As many vectors as the published search draws.
+_WEIGHTS = weight_vectors(6000)
 _CTES["weighted"] = f"""
 SELECT weight_id, y, CASE WHEN a >= b AND a >= c AND a >= d THEN 0 WHEN b >= c AND b >= d THEN 1 WHEN c >= d THEN 2 ELSE 3 END AS p
 FROM (SELECT weight_id, y, c0 * w[1] AS a, c1 * w[2] AS b, c2 * w[3] AS c, c3 * w[4] AS d FROM pred,
@@ -282,7 +283,7 @@ def ratio_arm_classes(spark, sf_dir):
 
 
 _BASE_U = md5_mod_sql("'base:' || CAST(event_id AS VARCHAR)", 1_000_000) + " / CAST(1000000 AS DOUBLE)"
-_CTES["base_train"] = "SELECT y, count(*) AS n FROM pred WHERE seed > 42 AND event_id % 7 <> 0 GROUP BY 1"
+_CTES["base_train"] = "SELECT y, count(*) AS n FROM pred WHERE seed > 42 GROUP BY 1"
 _CTES["base_pred"] = f"""
 SELECT s.strategy, t.y, (SELECT y FROM base_train ORDER BY n DESC, y LIMIT 1) AS p
 FROM pred t, (SELECT unnest(['most_frequent', 'prior']) AS strategy) s WHERE t.seed = 42
@@ -300,7 +301,7 @@ SELECT strategy, sum(hits) / sum(support) AS accuracy, avg(recall) AS balanced_a
   sum(f1 * support) / sum(support) AS weighted_f1, sum(support) AS n FROM base_conf GROUP BY 1""")
 def naive_baselines(spark, sf_dir):
     pred = predictions(spark, sf_dir)
-    train = pred.where((F.col("seed") > 42) & (F.col("event_id") % 7 != 0))
+    train = pred.where(F.col("seed") > 42)
     uniform = user_uniform(F.col("event_id").cast("string"), "base")
     return M.score_block(M.baseline_predictions(train, pred.where("seed = 42"), uniform), ["strategy"])
 

@@ -317,14 +317,14 @@ def registration_day_numbers(inp):
                     category_text(F.col("gender")).alias("gender_text"))
 
 
-@table_query("coerced_numbers", "doc_id:i number:f",
-             "SELECT doc_id, coalesce(TRY_CAST(substr(text, 1, 3) AS DOUBLE), -1) AS number FROM documents "
-             "WHERE regexp_matches(substr(text, 1, 3), '^([0-9]+|[A-Za-z]+)$') "
-             "AND lower(substr(text, 1, 3)) NOT IN ('nan', 'inf')")
+@table_query("coerced_numbers", "event_id:i number:f",
+             "SELECT event_id, CASE WHEN regexp_full_match(raw, '[+-]?[0-9]+([.][0-9]+)?') THEN CAST(raw AS DOUBLE) ELSE -1 END AS number "
+             "FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN event_type WHEN event_type = 'click' THEN CAST(value AS VARCHAR) "
+             "ELSE json_extract_string(props, '$.k') END AS raw FROM events)")
 def coerced_numbers(spark, sf_dir):
-    head = F.substring("text", 1, 3)
-    docs = table(spark, sf_dir, "documents").where(head.rlike("^([0-9]+|[A-Za-z]+)$") & ~F.lower(head).isin("nan", "inf"))
-    return docs.select("doc_id", numeric_or(head, -1.0).alias("number"))
+    kind = F.col("event_type")
+    raw = F.when(kind == "error", kind).when(kind == "click", F.col("value").cast("string")).otherwise(F.get_json_object("props", "$.k"))
+    return table(spark, sf_dir, "events").select("event_id", numeric_or(F.when(raw.rlike("^[+-]?[0-9]+([.][0-9]+)?$"), raw), -1.0).alias("number"))
 
 
 @query("usage_channel_totals", "msno date:d num_25:i num_100:i num_unq:i", "SELECT * FROM logs", study="events")

@@ -67,7 +67,7 @@ SELECT DISTINCT CAST(user_id AS VARCHAR) AS msno,
   CAST(ts AS DATE) AS transaction_date,
   CAST(ts AS DATE) + CAST(3 + event_id % 5 AS INT) AS membership_expire_date,
   CAST(event_type = 'error' AS BIGINT) AS is_cancel
-FROM events WHERE event_type IN ('purchase', 'error') AND event_id % 4 = 0""",
+FROM events WHERE event_type IN ('purchase', 'error')""",
     "logs": """
 SELECT CAST(user_id AS VARCHAR) AS msno, CAST(ts AS DATE) AS date,
   least(greatest(sum(value * 120), 0), 86400) AS total_secs,

@@ -93,7 +93,7 @@ def events_study(spark: SparkSession, sf_dir: str, cfg: StudyConfig = EVENTS_STU
     user = F.col("user_id").cast("string").alias("msno")
     day = F.to_date("ts")
     plan = (F.lit(3) + F.col("event_id") % 5).cast("int")
-    txn = stream.where(F.col("event_type").isin("purchase", "error") & (F.col("event_id") % 4 == 0)).select(
+    txn = stream.where(F.col("event_type").isin("purchase", "error")).select(
         user,
         (F.get_json_object("props", "$.k").cast("long") % 7).alias("payment_method_id"),
         plan.cast("long").alias("payment_plan_days"),

@@ -14,9 +14,40 @@ from renewscope.sources.schemas import DATASETS, TRUTH_LABELS
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system it names."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    where, system = _opened(spark, path)
+    return system.exists(where)
+
+
+def _opened(spark: SparkSession, path: str):
+    """A path and the file system that it names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Removes a path with all that lies below it, if it is there."""
+    where, system = _opened(spark, path)
+    system.delete(where, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text on whatever file system the path names."""
+    where, system = _opened(spark, path)
+    out = system.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    where, system = _opened(spark, path)
+    size = system.getFileStatus(where).getLen()
+    stream = system.open(where)
+    try:
+        return bytes(stream.readNBytes(size)).decode()
+    finally:
+        stream.close()
 
 
 def table_complete(spark: SparkSession, path: str) -> bool:
@@ -28,13 +59,13 @@ def convert_csv(spark: SparkSession, raw_dir: str, name: str, force: bool = Fals
     """One CSV to Snappy Parquet with declared types and column order.
 
     Columns are matched by header name, so the file may order them differently. Returns
-    'converted', 'skipped' (already there) or 'missing'.
+    'converted', 'skipped' (already there, with its commit marker) or 'missing'.
     """
     schema = DATASETS[name]
     source, target = f"{raw_dir}/{name}.csv", f"{raw_dir}/{name}.parquet"
     if not path_exists(spark, source):
         return "missing"
-    if path_exists(spark, target) and not force:
+    if table_complete(spark, target) and not force:
         return "skipped"
     text = spark.read.option("header", True).csv(source)
     absent = [c for c in schema.names if c not in text.columns]

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewscope.sources.raw import path_exists, table_complete
+from renewscope.sources.raw import path_exists, remove_path, table_complete
 
 
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()) -> DataFrame:
@@ -40,6 +40,7 @@ def cached_by_keys(spark: SparkSession, path: str, keyed: DataFrame, keys: Seque
     if table_complete(spark, path) and table_complete(spark, mark):
         if spark.read.schema(now.schema).parquet(mark).first() == now.first():
             return spark.read.parquet(path), True
+    remove_path(spark, mark)  # first, so that no mark outlives the table it was made for
     build().write.mode("overwrite").parquet(path)
     now.write.mode("overwrite").parquet(mark)
     return spark.read.parquet(path), False
@@ -58,7 +59,8 @@ class SweepStore:
         return table_complete(self.spark, self._path(name, "summary"))
 
     def save(self, name: str, trials: DataFrame, params: Sequence[str], score: str = "macro_f1", **meta) -> None:
-        """The summary is written last, so a sweep exists only when it is whole."""
+        """The summary goes first and is written last, so a sweep exists only when it is whole."""
+        remove_path(self.spark, self._path(name, "summary"))
         trials.write.mode("overwrite").parquet(self._path(name, "trials"))
         best = trials.orderBy(F.desc(score), "trial").limit(1).select(
             F.lit(name).alias("name"), F.col(score).cast("double").alias("best_score"),

@@ -13,7 +13,7 @@ from renewscope.operators.history import history_medians
 from renewscope.operators.panel import daily_panel, dense_sequence, slide
 from renewscope.operators.quantiles import exact_quantiles, value_ranks
 from renewscope.operators.ranges import binned_interval_join, plain_interval_join
-from renewscope.operators.skew import hot_row_keys, join_unique
+from renewscope.operators.skew import join_unique
 from renewscope.operators.splits import hash_sample, stratified_subsample
 
 CFG = StudyConfig()
@@ -79,7 +79,7 @@ def test_describe_histogram_missing(numbers):
 
 
 def test_hot_user_history(spark):
-    """A user with a third of all rows and continuous amounts goes the bucketed way."""
+    """A user with a third of all rows and continuous amounts."""
     rng = np.random.default_rng(11)
     n = 3000
     pdf = pd.DataFrame({"msno": np.where(np.arange(n) % 3 == 0, "hot", (np.arange(n) % 40).astype(str)),
@@ -90,10 +90,9 @@ def test_hot_user_history(spark):
                                             F.col("paid").alias("actual_amount_paid"))
     points = txn.select("msno").distinct().select("msno", F.explode(F.sequence(F.lit(0), F.lit(125), F.lit(9))).alias("d"))
     points = points.withColumn("dec", F.date_add(base, F.col("d")))
-    assert hot_row_keys(txn, "msno", 0.1) == ["hot"]
-    mixed, bucketed = history_medians(points, txn, share=0.1), history_medians(points, txn, share=1e-9)
+    medians = history_medians(points, txn)
     day0 = pd.Timestamp("2016-01-01").date()
-    for found in (mixed, bucketed):
+    for found in (medians,):
         got = {(r["msno"], (r["dec"] - day0).days): r["median_hist_paid"] for r in found.collect()}
         want = {}
         for user, part in pdf.groupby("msno"):

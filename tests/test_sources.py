@@ -39,6 +39,8 @@ def test_conversion_and_whole_study(spark, raw_dir):
     assert t.orderBy("transaction_date").first()["is_cancel"] == 0
     assert raw.convert_all(spark, raw_dir, only=["transactions"]) == {"transactions": "skipped"}
     assert raw.convert_all(spark, raw_dir, only=["transactions"], force=True) == {"transactions": "converted"}
+    raw.remove_path(spark, f"{raw_dir}/transactions.parquet/_SUCCESS")  # as a lost conversion leaves it
+    assert raw.convert_all(spark, raw_dir, only=["transactions"]) == {"transactions": "converted"}
     with pytest.raises(ValueError):
         raw.convert_all(spark, raw_dir, only=["other"])
     study = raw.raw_study(spark, raw_dir, CFG)
@@ -112,3 +114,18 @@ def test_contract(spark, tmp_path, sf_dir):
         contract.assert_no_leak(["pre_rate", "vol_ratio"])
     with pytest.raises(ValueError):
         contract.feature_list("all")
+
+
+def test_stale_mark_does_not_outlive_its_table(spark, tmp_path):
+    """A rebuild that breaks off, then a return to the old keys: the table is built again."""
+    path = f"{tmp_path}/cache"
+    one, two = (spark.createDataFrame([(i,)], "k int") for i in (1, 2))
+    assert not cached_by_keys(spark, path, one, ["k"], lambda: one)[1]
+
+    def breaks():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        cached_by_keys(spark, path, two, ["k"], breaks)
+    table, reused = cached_by_keys(spark, path, one, ["k"], lambda: one)
+    assert not reused and table.first()["k"] == 1
