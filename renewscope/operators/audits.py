@@ -356,14 +356,14 @@ def transition_matrix(events: DataFrame) -> DataFrame:
     return crosstab_shares(pairs, "label", "next_label")
 
 
-def contract_checks(events: DataFrame) -> DataFrame:
+def contract_checks(events: DataFrame, cfg: StudyConfig) -> DataFrame:
     """(rule, violations): every count must be zero."""
     m = F.col("label") != "INSUFFICIENT_DATA"
     checks = {
         "churn_iff_not_renewed": m & ((F.col("renewed") == 0) != (F.col("label") == "CHURN")),
         "movement_needs_evidence": m & (F.col("has_pre_evidence") == 0),
-        "stable_outside_band": (F.col("label") == "STABLE") & ~F.col("vol_ratio").between(0.5, 1.5),
-        "duplicate_flag_range": ~F.col("renewed").isin(0, 1),
+        "stable_outside_band": (F.col("label") == "STABLE") & ~F.col("vol_ratio").between(cfg.vol_low, cfg.vol_high),
+        "renewed_is_no_flag": ~F.coalesce(F.col("renewed").isin(0, 1), F.lit(False)),
     }
     row = events.agg(*[F.count_if(c).alias(k) for k, c in checks.items()])
     return row.unpivot([], list(checks), "rule", "violations")

@@ -202,9 +202,10 @@ def out_of_fold(rows: DataFrame, score: Callable[[DataFrame, DataFrame], DataFra
 
 
 def two_stage_runs(rows: DataFrame, renew: Maker, move: Maker, cfg: StudyConfig, seeds: Sequence[int],
-                   folds: Sequence[int] = (0, 1, 2)) -> DataFrame:
-    """(seed, model, best_tau, scores) of the arg-max and the tuned two-stage classifier."""
-    parts = []
+                   folds: Sequence[int] | None = None) -> DataFrame:
+    """(seed, model, best_tau, scores) of the arg-max and the tuned two-stage classifier; the
+    threshold is learned from out-of-fold predictions of all folds."""
+    parts, folds = [], range(cfg.n_folds) if folds is None else folds
     score = lambda train, test: two_stage_scores(train, test, renew, move)
     for seed in seeds:
         run = assign_run_split(rows, seed, cfg)
@@ -264,6 +265,12 @@ def regression_cv(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, arms:
                                      F.avg("rmse").alias("rmse"))
 
 
+def walk_forward_steps(rows: DataFrame) -> list[int]:
+    """Every month that has development rows, some of them with a label, up to it and in the next one."""
+    months = sorted(r[0] for r in development(rows).where(F.col("y").isNotNull()).select("month_idx").distinct().collect())
+    return [m - 1 for m in months[1:]]
+
+
 def walk_forward(rows: DataFrame, make: Maker, steps: Sequence[int]) -> DataFrame:
     """(test_month, scores): refit on months up to t, score month t + 1."""
     parts = []

@@ -22,6 +22,15 @@ def usage_days(logs: DataFrame, cfg: StudyConfig) -> DataFrame:
     )
 
 
+def usage_near(logs: DataFrame, cfg: StudyConfig, before: int | None, after: int) -> DataFrame:
+    """Log rows that some event of the study's cohort can look at: from `before` days ahead of its
+    first day (None: from the beginning) to `after` days past its last. The bounds are values of
+    the study, so they reach the scan."""
+    first, last = (F.lit(x).cast("date") for x in (cfg.cohort_start, cfg.cohort_end))
+    kept = logs.where(F.col("date") <= F.date_add(last, after))
+    return kept if before is None else kept.where(F.col("date") >= F.date_sub(first, before))
+
+
 def usage_windows(events: DataFrame, days: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Every usage total of an event: before and after E, all horizons, the whole
     history and the last c days. The reference scans its log once for each of these

@@ -150,13 +150,13 @@ def _forward_only(inp):
     from renewscope.operators.cohort import expiry_events
     from renewscope.operators.labels import with_label
     from renewscope.operators.renewal import renewal_signals
-    from renewscope.operators.usage import cohort_usage, usage_days, usage_windows
+    from renewscope.operators.usage import cohort_usage, usage_days, usage_near, usage_windows
 
     txn = distinct_transactions(inp.transactions)
     days = transaction_days(txn)
     cohort = expiry_events(txn, inp.cfg)
     events = renewal_signals(cohort, days, inp.cfg).withColumn("renewed", F.col("renewed_forward"))
-    usage = cohort_usage(usage_days(inp.usage, inp.cfg), cohort)
+    usage = cohort_usage(usage_days(usage_near(inp.usage, inp.cfg, None, inp.cfg.window_days), inp.cfg), cohort)
     return with_label(usage_windows(events, usage, inp.cfg), inp.cfg), txn
 
 

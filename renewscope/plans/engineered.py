@@ -12,7 +12,7 @@ from renewscope.operators.labels import with_label
 from renewscope.operators.members import with_demographics
 from renewscope.operators.renewal import with_renewal
 from renewscope.operators.splits import with_fixed_split
-from renewscope.operators.usage import cohort_usage, usage_days, usage_windows
+from renewscope.operators.usage import cohort_usage, usage_days, usage_near, usage_windows
 from renewscope.session import through_table
 from renewscope.sources.adapters import StudyInputs
 
@@ -32,7 +32,7 @@ def event_history(inputs: StudyInputs) -> DataFrame:
 
 def _labelled_with_members(inputs: StudyInputs, txn: DataFrame, txn_days: DataFrame) -> DataFrame:
     cohort = expiry_events(txn, inputs.cfg)
-    days = cohort_usage(usage_days(inputs.usage, inputs.cfg), cohort)
+    days = cohort_usage(usage_days(usage_near(inputs.usage, inputs.cfg, None, inputs.cfg.window_days), inputs.cfg), cohort)
     renewed = with_renewal(cohort, txn_days, inputs.cfg)
     events = with_label(usage_windows(renewed, days, inputs.cfg), inputs.cfg)
     if inputs.members is not None:

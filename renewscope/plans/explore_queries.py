@@ -10,6 +10,7 @@ from renewscope.operators.labels import core
 from renewscope.operators.members import with_demographics
 from renewscope.operators.panel import daily_panel
 from renewscope.operators.quantiles import exact_quantiles, quantile_columns
+from renewscope.operators.usage import usage_near
 from renewscope.plans.catalog import query
 from renewscope.plans.labelled import labelled_events
 from renewscope.session import through_table
@@ -141,7 +142,7 @@ def usage_profile_by_offset(inp):
     from renewscope.operators.cohort import expiry_events
 
     events = expiry_events(distinct_transactions(inp.transactions), inp.cfg)
-    return X.offset_profile(daily_panel(events, inp.usage, inp.cfg)).withColumnRenamed("offset", "offset_day")
+    return X.offset_profile(daily_panel(events, usage_near(inp.usage, inp.cfg, inp.cfg.seq_window, 0), inp.cfg)).withColumnRenamed("offset", "offset_day")
 
 
 @query("active_days_per_event", "panel_rows:i n_events:i mean_days:f max_days:i",
@@ -151,7 +152,7 @@ def active_days_per_event(inp):
     from renewscope.operators.cohort import expiry_events
 
     events = expiry_events(distinct_transactions(inp.transactions), inp.cfg)
-    return X.active_days_per_event(daily_panel(events, inp.usage, inp.cfg))
+    return X.active_days_per_event(daily_panel(events, usage_near(inp.usage, inp.cfg, inp.cfg.seq_window, 0), inp.cfg))
 
 
 @query("coverage_by_horizon", "h1_active:f h1_any:f h60_active:f h60_any:f baseline:f", """

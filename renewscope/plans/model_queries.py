@@ -1,9 +1,10 @@
-"""Queries that fit models. Model sizes are kept small here; the operators default to
-the published sizes. Fitting is not expressible in SQL, so these have no SQL twin."""
+"""Queries that fit models, over all folds, seeds, cutoffs, steps and trials of the protocols.
+Numbers of iterations, rounds and trees are parameters, smaller here than the published
+defaults of the operators. Fitting is not expressible in SQL, so these have no SQL twin."""
 
 from pyspark.sql import functions as F
 
-from renewscope.config import RUN_SEEDS
+from renewscope.config import ORDERS_STUDY, RUN_SEEDS
 from renewscope.operators import models as L
 from renewscope.operators.labels import core
 from renewscope.plans.catalog import query
@@ -29,19 +30,24 @@ def _cutoff_rows(inp):
     return through_table(rows, "cutoff-rows"), contract.feature_list("base")
 
 
+#: Folds on which models are scored (the published three) and from which thresholds are learned (all).
+SCORED, ALL_FOLDS = (0, 1, 2), tuple(range(ORDERS_STUDY.n_folds))
+ITERATIONS, TREES, ROUNDS, DEPTH, TRIALS = 20, 50, 5, 4, 16
+
+
 def _logit(names, target="y"):
-    return lambda: L.logistic(names, target, max_iter=6)
+    return lambda: L.logistic(names, target, max_iter=ITERATIONS)
 
 
 def _trees(names, target="y"):
-    return lambda: L.boosted(names, target, rounds=2, depth=3, step=0.3)
+    return lambda: L.boosted(names, target, rounds=ROUNDS, depth=DEPTH, step=0.3)
 
 
 @query("model_comparison", "model macro_f1:f macro_f1_std:f balanced_acc:f")
 def model_comparison(inp):
     rows, names = _rows(inp)
-    makers = {"logistic": _logit(names), "forest": lambda: L.forest(names, trees=8, depth=5), "boosted": _trees(names)}
-    return L.cross_validate(rows, makers, folds=(0,))
+    makers = {"logistic": _logit(names), "forest": lambda: L.forest(names, trees=TREES, depth=8), "boosted": _trees(names)}
+    return L.cross_validate(rows, makers, folds=SCORED)
 
 
 @query("hyper_parameter_search", "trial max_iter:i reg:f macro_f1:f macro_f1_std:f balanced_acc:f")
@@ -50,7 +56,7 @@ def hyper_parameter_search(inp):
     spark = rows.sparkSession
     store = SweepStore(spark, shared_dir(spark, "sweeps"))
     make = lambda max_iter, reg: L.logistic(names, max_iter=max_iter, reg=reg)
-    _, trials = L.random_search(rows, make, {"max_iter": [3, 6], "reg": [0.0, 0.01, 0.1]}, 3, 42, folds=(0,),
+    _, trials = L.random_search(rows, make, {"max_iter": [5, 10, 20], "reg": [0.0, 0.001, 0.01, 0.1]}, TRIALS, 42, folds=SCORED,
                                 store=store, name="logistic_run42")
     return trials
 
@@ -58,13 +64,13 @@ def hyper_parameter_search(inp):
 @query("repeated_holdout_runs", "seed:i model accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
 def repeated_holdout_runs(inp):
     rows, names = _rows(inp)
-    return L.repeated_holdout(rows, {"logistic": _logit(names)}, inp.cfg, RUN_SEEDS[:3])
+    return L.repeated_holdout(rows, {"logistic": _logit(names)}, inp.cfg, RUN_SEEDS)
 
 
 @query("two_stage_runs", "seed:i model best_tau:f accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
 def two_stage_runs(inp):
     rows, names = _rows(inp)
-    return L.two_stage_runs(rows, _logit(names, "renew"), _logit(names, "move"), inp.cfg, RUN_SEEDS[:1], folds=(0,))
+    return L.two_stage_runs(rows, _logit(names, "renew"), _logit(names, "move"), inp.cfg, RUN_SEEDS, folds=ALL_FOLDS)
 
 
 @query("renewal_stage_quality", "roc_auc:f average_precision:f macro_f1:f")
@@ -76,32 +82,32 @@ def renewal_stage_quality(inp):
 @query("regression_arms", "arm move_f1:f move_f1_std:f rmse:f")
 def regression_arms(inp):
     rows, names = _rows(inp)
-    return L.regression_cv(rows, names, inp.cfg, folds=(0, 1), rounds=2, depth=3, step=0.3)
+    return L.regression_cv(rows, names, inp.cfg, folds=SCORED, rounds=ROUNDS, depth=DEPTH, step=0.3)
 
 
 @query("walk_forward_scores", "test_month:i accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
 def walk_forward_scores(inp):
     rows, names = _rows(inp)
-    return L.walk_forward(rows, _logit(names), steps=(11, 23, 33))
+    return L.walk_forward(rows, _logit(names), steps=L.walk_forward_steps(rows))
 
 
 @query("accuracy_decay_by_cutoff", "cutoff_days:i macro_f1:f macro_f1_std:f balanced_acc:f")
 def accuracy_decay_by_cutoff(inp):
     rows, names = _cutoff_rows(inp)
-    return L.decay_by_cutoff(rows, _logit(names), inp.cfg.cutoffs, inp.cfg, folds=(0,))
+    return L.decay_by_cutoff(rows, _logit(names), inp.cfg.cutoffs, inp.cfg, folds=SCORED)
 
 
 @query("two_stage_decay_by_cutoff", "cutoff_days:i derived:f stage1:f stage2:f")
 def two_stage_decay_by_cutoff(inp):
     rows, names = _cutoff_rows(inp)
-    return L.two_stage_decay(rows, _logit(names, "renew"), _logit(names, "move"), inp.cfg.cutoffs[::2], 0.475,
-                             inp.cfg, folds=(0,))
+    return L.two_stage_decay(rows, _logit(names, "renew"), _logit(names, "move"), inp.cfg.cutoffs, 0.475,
+                             inp.cfg, folds=SCORED)
 
 
 @query("single_feature_recovery", "seed:i single:f full:f recovered:f")
 def single_feature_recovery(inp):
     rows, names = _rows(inp)
-    return L.single_feature_recovery(rows, _logit(["is_auto_renew"]), _logit(names), inp.cfg, RUN_SEEDS[:2])
+    return L.single_feature_recovery(rows, _logit(["is_auto_renew"]), _logit(names), inp.cfg, RUN_SEEDS)
 
 
 @query("class_mix_by_auto_renew", "is_auto_renew:i label n:i share:f row_total:i", """

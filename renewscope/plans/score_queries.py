@@ -485,11 +485,16 @@ def paired_test_table(spark, sf_dir):
 
 @_query("published_summary_check", "model n:i mean:f sd:f se:f min:f max:f reproduced:i", """
 SELECT model, count(*) AS n, avg(macro_f1) AS mean, stddev_samp(macro_f1) AS sd,
-  stddev_samp(macro_f1) / sqrt(count(*)) AS se, min(macro_f1) AS min, max(macro_f1) AS max, 1 AS reproduced
+  stddev_samp(macro_f1) / sqrt(count(*)) AS se, min(macro_f1) AS min, max(macro_f1) AS max,
+  CAST(abs(avg(macro_f1) - avg(macro_f1) FILTER (model <> 'error' OR seed <> 42)) <= 1e-4 AND
+    abs(stddev_samp(macro_f1) / sqrt(count(*)) - stddev_samp(macro_f1) FILTER (model <> 'error' OR seed <> 42)
+      / sqrt(count(*) FILTER (model <> 'error' OR seed <> 42))) <= 1e-4 AS INT) AS reproduced
 FROM model_runs GROUP BY 1""")
 def published_summary_check(spark, sf_dir):
     runs = _runs(spark, sf_dir)
-    return P.summary_check(runs, mean_se(runs, ["model"], ["macro_f1"]))
+    # The published table lacks a run of one model, whose row then can't be reproduced.
+    published = runs.where((F.col("model") != "error") | (F.col("seed") != 42))
+    return P.summary_check(runs, mean_se(published, ["model"], ["macro_f1"]))
 
 
 @_query("run_table_problems", "model problem", """

@@ -10,7 +10,7 @@ from renewscope.operators import splits as S
 from renewscope.operators.cohort import distinct_transactions, expiry_events
 from renewscope.operators.explore import crosstab_shares, counts_by
 from renewscope.operators.members import with_demographics
-from renewscope.operators.usage import usage_days
+from renewscope.operators.usage import usage_days, usage_near
 from renewscope.plans.catalog import _CTES as CTES
 from renewscope.plans.catalog import query, table_query
 from renewscope.plans.labelled import labelled_events
@@ -145,7 +145,7 @@ def hash_sample_size(inp):
 @query("daily_panel", "msno E:d offset_day:i total_secs:g num_100:i num_unq:i num_25:i",
        "SELECT *, \"offset\" AS offset_day FROM panel")
 def daily_panel(inp):
-    return Q.daily_panel(_cohort(inp), inp.usage, inp.cfg).withColumnRenamed("offset", "offset_day")
+    return Q.daily_panel(_cohort(inp), usage_near(inp.usage, inp.cfg, inp.cfg.seq_window, 0), inp.cfg).withColumnRenamed("offset", "offset_day")
 
 
 @query("daily_panel_dense_study", "msno E:d offset_day:i total_secs:g num_100:i num_unq:i num_25:i",
@@ -157,7 +157,7 @@ def daily_panel_dense_study(inp):
 
 def _dense(inp, window):
     events = _cohort(inp)
-    return Q.dense_sequence(Q.daily_panel(events, inp.usage, inp.cfg, window), events, window)
+    return Q.dense_sequence(Q.daily_panel(events, usage_near(inp.usage, inp.cfg, window, 0), inp.cfg, window), events, window)
 
 
 def _dense_sql(window, shift=0, size=None):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from renewscope.functions.scalar import flag, paid_renewal
+from renewscope.config import ORDERS_STUDY
 from renewscope.operators.audits import contract_checks, reconstruction_error
 from renewscope.operators.cohort import distinct_transactions, expiry_events, transaction_days
 from renewscope.operators.cutoff import transaction_features_at, usage_features_at
@@ -10,7 +11,7 @@ from renewscope.operators.explore import date_bounds, within_bounds
 from renewscope.operators.labels import core
 from renewscope.operators.members import with_demographics
 from renewscope.operators.renewal import renewal_signals
-from renewscope.operators.usage import cohort_usage, usage_days, usage_windows
+from renewscope.operators.usage import cohort_usage, usage_days, usage_near, usage_windows
 from renewscope.plans.catalog import query
 from renewscope.plans.engineered import engineered_events, event_history, rebuilt_at_cutoffs
 from renewscope.plans.labelled import labelled_events
@@ -26,7 +27,7 @@ def _cohort(inp):
 
 def _usage(inp, events=None):
     cohort = _cohort(inp)
-    days = cohort_usage(usage_days(inp.usage, inp.cfg), cohort)
+    days = cohort_usage(usage_days(usage_near(inp.usage, inp.cfg, None, inp.cfg.window_days), inp.cfg), cohort)
     return usage_windows(cohort.select("msno", "E", *(events or [])), days, inp.cfg)
 
 
@@ -130,7 +131,7 @@ def recent_vs_lifetime_ratio(inp):
        "SELECT 5 * count(*) AS n, 0.0 AS max_diff, 0.0 AS mean_diff FROM cohort")
 def baseline_reconstruction(inp):
     cohort = _cohort(inp)
-    days = cohort_usage(usage_days(inp.usage, inp.cfg), cohort)
+    days = cohort_usage(usage_days(usage_near(inp.usage, inp.cfg, None, inp.cfg.window_days), inp.cfg), cohort)
     wide = usage_windows(cohort.select("msno", "E"), days, inp.cfg)
     less = F.explode(F.array(*[
         F.struct(F.lit(c).alias("cutoff_days"),
@@ -272,10 +273,12 @@ def usage_within_cohort_bounds(inp):
 
 
 @query("label_contract_checks", "rule violations:i",
-       "SELECT unnest(['churn_iff_not_renewed', 'movement_needs_evidence', 'stable_outside_band', "
-       "'duplicate_flag_range']) AS rule, 0 AS violations")
+       "SELECT 'churn_iff_not_renewed' AS rule, count(*) FILTER (label <> 'INSUFFICIENT_DATA' AND (renewed = 0) <> (label = 'CHURN')) AS violations FROM ev "
+       "UNION ALL SELECT 'movement_needs_evidence', count(*) FILTER (label <> 'INSUFFICIENT_DATA' AND has_pre_evidence = 0) FROM ev "
+       f"UNION ALL SELECT 'stable_outside_band', count(*) FILTER (label = 'STABLE' AND vol_ratio NOT BETWEEN {ORDERS_STUDY.vol_low} AND {ORDERS_STUDY.vol_high}) FROM ev "
+       "UNION ALL SELECT 'renewed_is_no_flag', count(*) FILTER (coalesce(renewed NOT IN (0, 1), true)) FROM ev")
 def label_contract_checks(inp):
-    return contract_checks(labelled_events(inp))
+    return contract_checks(labelled_events(inp), inp.cfg)
 
 
 @query("modellable_events", "msno E:d label renewed:i", "SELECT * FROM core", study="events")
