@@ -10,7 +10,7 @@ import random
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -58,10 +58,37 @@ def _numeric(nums: Sequence[str], scaled: bool) -> list:
     return stages + ([StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True)] if scaled else [])
 
 
+class RareLevels(Estimator):
+    """Categories seen in fewer than `least` fitted rows, and those beyond the `most` commonest ones,
+    become one level. Levels come from code lists, so the kept ones fit the plan."""
+
+    def __init__(self, cols: Sequence[str], least: int = 50, most: int = 120):
+        super().__init__()
+        self.cols, self.least, self.most = list(cols), least, most
+
+    def _fit(self, dataset: DataFrame) -> KeptLevels:
+        kept = {}
+        for c in self.cols:
+            counted = dataset.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= self.least) & F.col(c).isNotNull())
+            kept[c] = [r[0] for r in counted.orderBy(F.desc("n"), c).limit(self.most).collect()]
+        return KeptLevels(kept)
+
+
+class KeptLevels(Transformer):
+    def __init__(self, kept: dict[str, list[str]]):
+        super().__init__()
+        self.kept = kept
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumns({
+            c: F.when(F.col(c).isin(levels), F.col(c)).otherwise(F.lit("infrequent")) if levels else F.lit("infrequent")
+            for c, levels in self.kept.items()})
+
+
 def logistic(names: Sequence[str], target: str = "y", max_iter: int = 300, reg: float = 0.0) -> Pipeline:
     """Impute, scale, one-hot, balanced multinomial logistic regression."""
     nums, cats = numeric_columns(names), categorical_columns(names)
-    stages = _numeric(nums, scaled=True) + (one_hot_stages(cats) if cats else [])
+    stages = _numeric(nums, scaled=True) + ([RareLevels(cats), *one_hot_stages(cats)] if cats else [])
     stages += [VectorAssembler(inputCols=["scaled", *[f"{c}_vec" for c in cats]], outputCol="x"),
                LogisticRegression(featuresCol="x", labelCol=target, weightCol="weight", family="multinomial",
                                   maxIter=max_iter, regParam=reg)]
@@ -70,7 +97,7 @@ def logistic(names: Sequence[str], target: str = "y", max_iter: int = 300, reg:
 
 def _tree_inputs(names: Sequence[str]) -> list:
     nums, cats = numeric_columns(names), categorical_columns(names)
-    index = [StringIndexer(inputCols=cats, outputCols=[f"{c}_idx" for c in cats], handleInvalid="keep")] if cats else []
+    index = [RareLevels(cats), StringIndexer(inputCols=cats, outputCols=[f"{c}_idx" for c in cats], handleInvalid="keep")] if cats else []
     return _numeric(nums, scaled=False) + index + [
         VectorAssembler(inputCols=["numbers", *[f"{c}_idx" for c in cats]], outputCol="x")]
 
@@ -97,6 +124,20 @@ def boosted_regression(names: Sequence[str], target: str, rounds: int = 400, dep
         featuresCol="x", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, maxBins=128, seed=seed)])
 
 
+def importances(fitted, names: Sequence[str], run: int) -> list[tuple[int, str, float]]:
+    """(run, feature, gain) of a fitted tree pipeline; one-vs-rest ensembles are averaged."""
+    head = fitted.stages[-1]
+    parts = [m.featureImportances.toArray() for m in getattr(head, "models", [head])]
+    order = [*numeric_columns(names), *categorical_columns(names)]  # as the assembler lists them
+    return [(run, feature, float(sum(p[i] for p in parts) / len(parts))) for i, feature in enumerate(order)]
+
+
+def importance_runs(rows: DataFrame, make: Maker, names: Sequence[str], cfg: StudyConfig, seeds: Sequence[int]) -> DataFrame:
+    """(run, feature, gain): one fit per seed on its development rows."""
+    found = [row for seed in seeds for row in importances(fit_balanced(make(), development(assign_run_split(rows, seed, cfg))), names, seed)]
+    return rows.sparkSession.createDataFrame(found, "run int, feature string, gain double")
+
+
 def fit_balanced(pipeline: Pipeline, train: DataFrame, target: str = "y"):
     return pipeline.fit(with_balanced_weights(train.where(F.col(target).isNotNull()), target))
 

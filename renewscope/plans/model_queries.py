@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from renewscope.config import ORDERS_STUDY, RUN_SEEDS
 from renewscope.operators import models as L
 from renewscope.operators.labels import core
+from renewscope.operators.metrics import importance_robustness, importance_shares
 from renewscope.plans.catalog import query
 from renewscope.plans.engineered import engineered_events, rebuilt_at_cutoffs
 from renewscope.plans.labelled import labelled_events
@@ -32,7 +33,7 @@ def _cutoff_rows(inp):
 
 #: Folds on which models are scored (the published three) and from which thresholds are learned (all).
 SCORED, ALL_FOLDS = (0, 1, 2), tuple(range(ORDERS_STUDY.n_folds))
-ITERATIONS, TREES, ROUNDS, DEPTH, TRIALS = 20, 50, 5, 4, 16
+ITERATIONS, TREES, ROUNDS, DEPTH, TRIALS = 10, 20, 3, 3, 16
 
 
 def _logit(names, target="y"):
@@ -110,6 +111,13 @@ def single_feature_recovery(inp):
     return L.single_feature_recovery(rows, _logit(["is_auto_renew"]), _logit(names), inp.cfg, RUN_SEEDS)
 
 
+@query("fitted_importance_robustness", "feature mean_share:f sd_share:f se_share:f median_share:f mean_rank:f top5_count:i top10_count:i n_runs:i")
+def fitted_importance_robustness(inp):
+    rows, names = _rows(inp)
+    gains = L.importance_runs(rows, lambda: L.forest(names, trees=TREES, depth=8), names, inp.cfg, RUN_SEEDS)
+    return importance_robustness(importance_shares(gains))
+
+
 @query("class_mix_by_auto_renew", "is_auto_renew:i label n:i share:f row_total:i", """
 SELECT is_auto_renew, label, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY is_auto_renew) AS share,
   sum(count(*)) OVER (PARTITION BY is_auto_renew) AS row_total FROM core GROUP BY 1, 2""")
