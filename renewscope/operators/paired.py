@@ -195,8 +195,8 @@ def t_interval(tested: DataFrame, level: float = 0.95) -> DataFrame:
 def bootstrap_interval(pairs: DataFrame, draws: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """(contrast, boot_lo, boot_hi): percentile interval of resampled mean differences.
 
-    Draws are hash-picked, so the result does not depend on partitioning. Each contrast
-    holds one array of its few differences.
+    Draws are picked by md5 of seed, contrast, draw and place, so the result does not depend on
+    partitioning or engine. Each contrast holds one array of its few differences.
     """
     held = pairs.groupBy("contrast").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pair_id", (F.col("a") - F.col("b")).alias("d")))),
@@ -205,7 +205,8 @@ def bootstrap_interval(pairs: DataFrame, draws: int = 10_000, seed: int = 42, le
     n = F.size("ds")
 
     def pick(i):
-        h = F.xxhash64(F.lit(seed), F.col("contrast"), F.col("draw"), i)
+        text = F.concat_ws(":", F.lit(str(seed)), F.col("contrast"), F.col("draw").cast("string"), i.cast("string"))
+        h = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
         return F.get(F.col("ds"), F.pmod(h, n.cast("long")).cast("int"))
 
     total = F.aggregate(F.transform(F.sequence(F.lit(1), n), pick), F.lit(0.0), lambda acc, x: acc + x)

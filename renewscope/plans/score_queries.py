@@ -470,7 +470,12 @@ def paired_t_intervals(spark, sf_dir):
     return P.t_interval(P.paired_t(_pairs(spark, sf_dir)))
 
 
-@_query("bootstrap_intervals", "contrast boot_lo:f boot_hi:f")
+@_query("bootstrap_intervals", "contrast boot_lo:f boot_hi:f", """
+SELECT contrast, quantile_cont(m, 0.025) AS boot_lo, quantile_cont(m, 0.975) AS boot_hi FROM (
+  SELECT contrast, draw, avg(v.d) AS m FROM (
+    SELECT contrast, draw, CAST('0x' || substr(md5('42:' || contrast || ':' || draw || ':' || (p.i + 1)), 1, 13) AS BIGINT) % n AS pick
+    FROM numbered p JOIN (SELECT contrast, count(*) AS n FROM numbered GROUP BY 1) USING (contrast), (SELECT unnest(range(1, 10001)) AS draw)) k
+  JOIN numbered v USING (contrast) WHERE v.i = k.pick GROUP BY 1, 2) GROUP BY 1""")
 def bootstrap_intervals(spark, sf_dir):
     return P.bootstrap_interval(_pairs(spark, sf_dir))
 
