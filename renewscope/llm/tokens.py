@@ -20,7 +20,7 @@ import pyarrow as pa
 from renewscope.llm.common import powers, spans_of, utf8
 
 #: Parts that one worker keeps; beyond that it begins anew.
-CACHE = 3_000_000
+CACHE = 700_000
 END_ID = 0
 _BLOCK = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
