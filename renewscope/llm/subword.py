@@ -17,7 +17,7 @@ from renewscope.llm.common import blocks, powers, utf8
 SEPARATOR = 0x20
 #: Kinds of features.
 WORDS, PREFIXED, GRAMS, AGAIN = 1, 2, 3, 4
-_BLOCK = 1 << 19
+_BLOCK = 1 << 18
 _BASE = 0x100000001B3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -20,9 +20,9 @@ import pyarrow as pa
 from renewscope.llm.common import powers, spans_of, utf8
 
 #: Parts that one worker keeps; beyond that it begins anew.
-CACHE = 700_000
+CACHE = 400_000
 END_ID = 0
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASES = (0x100000001B3, 0x9E3779B97F4A7C55)
 

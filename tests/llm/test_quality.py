@@ -11,19 +11,19 @@ def test_hashes_equal_plain_ones(monkeypatch):
     """The same words and n-grams have the same hashes wherever they stand, different ones differ."""
     texts = ["Größe of a word word", None, "", " a  Größe ", "日本 a"]
     got = {}
-    for block in (1 << 19, 12):
+    for block in (1 << 18, 12):
         monkeypatch.setattr(subword, "_BLOCK", block)
         found = {}
         for kind, rows, hashes in subword.features(pa.array(texts), subword.SPACED, (3,), (2,), again=True):
             for r, h in zip(rows.tolist(), hashes.tolist()):
                 found.setdefault((kind, r), []).append(h)
         got[block] = found
-    words = lambda r: got[1 << 19].get((subword.WORDS, r), [])
+    words = lambda r: got[1 << 18].get((subword.WORDS, r), [])
     assert [len(words(r)) for r in range(5)] == [5, 0, 0, 2, 2]
     assert words(0)[0] == words(3)[1] and words(0)[2] == words(3)[0] == words(4)[1] and len(set(words(0))) == 4
-    grams = got[1 << 19][(subword.GRAMS, 0)]
+    grams = got[1 << 18][(subword.GRAMS, 0)]
     assert len(grams) == 5 + 2 + 1 + 4 + 4 and len(set(grams)) == 12  # with a mark on either side of a word
-    assert len(got[1 << 19][(subword.AGAIN, 0)]) == 1
+    assert len(got[1 << 18][(subword.AGAIN, 0)]) == 1
     assert sorted(got[12][(subword.WORDS, 3)]) == sorted(words(3))
 
 
