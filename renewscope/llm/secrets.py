@@ -121,26 +121,43 @@ def reported_spans(spans: Column, live: Column) -> Column:
     return F.filter(spans, lambda s: (s["kind"] < len(KINDS)) | F.array_contains(live, s["hash"]))
 
 
+def _hidden(text: Column, pattern: str, group: int, secret) -> Column:
+    """The text with the counted part of every match that `secret` holds for replaced by a mark.
+
+    Matches are those of the scan, whole and from left to right; the counted part ends the match."""
+    gaps = F.split(text, pattern, -1)
+    whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    each = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), part.alias("part"))
+    name = lambda x: F.left(x["whole"], F.length(x["whole"]) - F.length(x["part"]))
+    kept = lambda x: F.when(F.coalesce(secret(x["part"]), F.lit(False)), F.concat(name(x), F.lit(MASK))).otherwise(F.coalesce(x["whole"], F.lit("")))
+    return F.when(text.rlike(pattern), F.array_join(F.transform(each, lambda x: F.concat(x["gap"], kept(x))), "")).otherwise(text)
+
+
 def masked_documents(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The documents with every reported secret replaced by a mark; no row is dropped.
 
+    Values of assignments go first: a token that meets one lies inside it. Then whole tokens
+    that are owner-specific: fixed kinds that meet one of these lie inside it as well. Access keys
+    and hex runs go last; a hex run that begins in the digits of a key goes with it.
     Only rows that hold a further candidate meet the scan's result, so the texts of all others
     are not shuffled. A null text stays null; `n_chars`, if there is one, is counted anew.
     """
     row, o, live = (fresh(docs, x) for x in ("repo", "owner", "live"))
     body = F.col(text)
+    # A value is masked and its name kept; a bounded pattern covers what stands behind shorter values.
+    assign, least = ASSIGN.rpartition("(")[0], KINDS[0][2]
+    masked = docs.withColumn(text, _hidden(body, ASSIGN, KINDS[0][3], lambda part: F.length(part) >= least))
+    masked = masked.withColumn(text, F.regexp_replace(body, f"({assign})[A-Za-z0-9+/_.=-]{{{least},}}", f"$1{MASK}"))
     tokens = F.filter(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), _looks_live)
     suspect = F.coalesce(body.rlike(TOKEN), F.lit(False)) & F.coalesce(F.size(tokens) > 0, F.lit(False))
     found = scan(docs, text, **limits).where(F.size("live") > 0).select(F.col("repo").alias(row), F.col("owner").alias(o), F.col("live").alias(live))
     found = found.dropDuplicates([row, o])
-    some = docs.where(suspect).join(found, F.col("doc_id").eqNullSafe(F.col(row)) & F.col("source").eqNullSafe(F.col(o)), "left")
-    owned = F.filter(tokens, lambda t: F.coalesce(F.array_contains(F.col(live), F.sha2(t, 256)), F.lit(False)))
-    some = some.withColumn(text, F.aggregate(F.array_distinct(owned), body, lambda t, secret: F.replace(t, secret, F.lit(MASK)))).drop(row, o, live)
-    masked = docs.where(~suspect).unionByName(some)
-    # A value is masked and its name kept; a bounded pattern covers every span that the scan keeps.
-    assign = ASSIGN.rpartition("(")[0]
-    masked = masked.withColumn(text, F.regexp_replace(body, f"({assign})[A-Za-z0-9+/_.=-]{{12,}}", f"$1{MASK}"))
-    masked = masked.withColumn(text, F.regexp_replace(body, r"AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", MASK))
+    some = masked.where(suspect).join(found, F.col("doc_id").eqNullSafe(F.col(row)) & F.col("source").eqNullSafe(F.col(o)), "left")
+    owned = lambda token: _looks_live(token) & F.array_contains(F.col(live), F.sha2(token, 256))
+    some = some.withColumn(text, F.when(F.col(live).isNull(), body).otherwise(_hidden(body, TOKEN, 0, owned))).drop(row, o, live)
+    masked = masked.where(~suspect).unionByName(some)
+    key = "AKIA(?=[A-Z0-9]{14})(?:[A-Z0-9]*[A-Z])?(?:[0-9a-f]{16,}|[0-9]*)"
+    masked = masked.withColumn(text, F.regexp_replace(body, f"{key}|[0-9a-f]{{16,}}", MASK))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length(body).cast(docs.schema["n_chars"].dataType))
     return masked.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -73,6 +73,24 @@ def test_masked_documents_keep_rows_and_lose_secrets(spark):
             assert new == text
 
 
+def test_whole_values_and_tokens_are_masked(spark):
+    short = "ghp_Ab12Cd34Ef56Gh78Ij90Kl"
+    key = "AKIA0123456789ABCD"
+    cases = {
+        'secret = "wJa1rXUtnFEMIK7MDENGx/bPxRfiCY3XAMPLEK9+Zz" end': 'secret = "<SECRET>" end',
+        "token=Ab12Cd34Ef56Gh78Ij90KlMn.eyJ1c2VyIjoiYWJjIn0=.Zz99Yy88Xx77Ww66Vv55": "token=<SECRET>",
+        f"{short} and {short}-Longer99 stay": "<SECRET> and <SECRET> stay",
+        "ghp_0123456789abcdef0123XyZw9 x": "<SECRET> x",
+        f"{key}b {key}": "<SECRET>b <SECRET>",
+        "secret: token: aaaaaaaaaaaatoken= 'bbbbbbbbbbbbbbbb'": "secret: token: <SECRET> '<SECRET>'",
+    }
+    got = {r["doc_id"]: r["text"] for r in secrets.masked_documents(docs_of(spark, list(cases))).collect()}
+    assert got[5].count("b") == 0 and "aaaa" not in got.pop(5)
+    assert got == dict(enumerate(list(cases.values())[:5]))
+    copied = secrets.masked_documents(docs_of(spark, [f"{key}0123456789012345abcdef {key}12ab"] * 3))
+    assert {r["text"] for r in copied.collect()} == {"<SECRET> <SECRET>ab"}
+
+
 def test_odd_rows(odd_docs, no_docs):
     found = secrets.scan(odd_docs)
     assert collections.Counter(r["repo"] for r in found.collect()) == collections.Counter(r["doc_id"] for r in odd_docs.select("doc_id").collect())
