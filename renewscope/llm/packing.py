@@ -140,7 +140,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32
-        sequence, group, dtype = base, base, encoder(tokenizer).dtype
+        sequence, group, dtype = base, base, encoder(tokenizer, True).dtype
         packer, id_type = Packer(window), None
 
         def rows(windows):
@@ -164,7 +164,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
         for batch in batches:
             id_type = batch.schema.field(0).type
             keys = batch.column(0)
-            for row, ids in documents(batch.column(1), tokenizer, end_id):
+            for row, ids in documents(batch.column(1), tokenizer, end_id, True):
                 packer.add(keys[row].as_py(), ids)
                 if packer.ready() or len(packer.done) > 1024:
                     windows = packer.pack() if packer.ready() else packer.done

@@ -26,10 +26,10 @@ def _tokenized(docs: DataFrame, tokenizer: str, text: str, key: str, end_id: int
     """doc_id, tie, ids (binary) of every document; tie is the md5 of its text."""
 
     def run(batches):
-        dtype = encoder(tokenizer).dtype
+        dtype = encoder(tokenizer, True).dtype
         for batch in batches:
             rows, blobs, size = [], [], 0
-            for row, ids in documents(batch.column(2), tokenizer, end_id):
+            for row, ids in documents(batch.column(2), tokenizer, end_id, True):
                 rows.append(row), blobs.append(ids.astype(dtype).tobytes())
                 size += len(blobs[-1])
                 if size > 1 << 23 or row == batch.num_rows - 1:
@@ -90,7 +90,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, text: str = "text
     ordered = numbered.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def write(batches):
-        dtype = encoder(tokenizer).dtype
+        dtype = encoder(tokenizer, True).dtype
         listed, held, docs_in, size, place = [], [], [], 0, None
 
         def close():

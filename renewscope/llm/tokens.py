@@ -5,6 +5,9 @@ piece ends whatever stands around it: before a space that something other than w
 follows; between an ASCII letter and a sign; between a single line feed and an ASCII letter.
 Texts are cut there, for whole batches at once, and each different part is encoded by the
 library once while it stays in the cache. Tests hold the ids against those of whole texts.
+
+With `added`, the tokenizer's added tokens are found in texts, as the library does by itself:
+each literal is a part of its own and ends what stands before it. Without, they are plain text.
 """
 
 from __future__ import annotations
@@ -68,12 +71,18 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 class Encoder:
     """Ids of texts, by the tokenizer of a file."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = self.tokenizer.get_added_tokens_decoder().values() if added else []
+        # Tokens that take white space in or look at what stands around them leave no safe place to cut.
+        self.cuts = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens)
+        literals = sorted((t.content.encode() for t in tokens), key=len, reverse=True)
+        self.literals = re.compile(b"|".join(map(re.escape, literals))) if literals else None
+        self.longest = max(map(len, literals), default=0)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.letters = str.maketrans(_byte_letters())
@@ -118,7 +127,7 @@ class Encoder:
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
         """Encode parts that are new and keep them."""
         texts = [data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist())]
-        plain = [bool(_WORD.fullmatch(t)) for t in texts]
+        plain = [bool(_WORD.fullmatch(t)) and not (self.literals and self.literals.search(t.encode())) for t in texts]
         rest = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
         tokenize, letters = self.model.tokenize, self.letters
         # A word is one piece, so the library's splitting has nothing to do there.
@@ -141,19 +150,30 @@ class Encoder:
             self._put(f, s, n)
         self._put(first, second, np.arange(old, new, dtype=np.int32))
 
-    def _parts(self, data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    def _parts(self, data: np.ndarray, begins: np.ndarray, stops: np.ndarray, whole: bool) -> np.ndarray:
         """Where parts begin in a stretch of texts that lie one behind the other."""
+        if not self.cuts:
+            return begins
         cut = np.zeros(len(data), bool)
         cut[:-1] = (data[:-1] == 0x20) & _FOLLOWS[data[1:]]
         cut[stops - 1] = False  # what follows is another text
         cut[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
         cut[2:] |= (data[1:-1] == 0x0A) & _SOLID[data[:-2]] & _LETTER[data[2:]]
+        raw = data.tobytes() if self.literals else b""
+        if self.literals and self.literals.search(raw):
+            found = [m.span() for a, b in zip(begins.tolist(), stops.tolist()) for m in self.literals.finditer(raw, a, b)]
+            for a, b in found:
+                cut[max(a - 1, 0) : b] = False  # a space before a literal ends its text
+            edges = np.array(found, np.int64).reshape(-1)
+            cut[edges[edges < len(data)]] = True
+        if not whole and self.longest:
+            cut[max(len(data) - self.longest, 0) :] = False  # a literal may begin here and end behind
         cut[begins] = True
         return np.flatnonzero(cut)
 
     def _stretch(self, data: np.ndarray, begins: np.ndarray, stops: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids, their number for each text, and how far the stretch was read (to the end if `whole`)."""
-        starts = self._parts(data, begins, stops)
+        starts = self._parts(data, begins, stops, whole)
         read = len(data)
         if not whole and len(starts) > 1:
             read, starts = int(starts[-1]), starts[:-1]
@@ -211,14 +231,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One for each worker process and file."""
-    return Encoder(path)
+    return Encoder(path, added=added)
 
 
-def documents(texts: pa.Array, path: str, end_id: int = END_ID) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, ids with the end id) of every text, in order."""
-    encode = encoder(path)
+def documents(texts: pa.Array, path: str, end_id: int = END_ID, added: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, ids with the end id) of every text, in order; with `added`, literals of added tokens are their ids."""
+    encode = encoder(path, True) if added else encoder(path)
     end = np.array([end_id], encode.dtype)
     held: list[np.ndarray] = []
     for row, ids, sizes, last in encode.encode(texts):

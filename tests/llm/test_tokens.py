@@ -167,3 +167,41 @@ def test_packer_holds_little_and_steps_are_balanced():
     for w, g in zip(windows, groups):
         loads[g] += sum(p.length for p in w)
     assert max(loads.values()) - min(loads.values()) <= 256
+
+
+@pytest.fixture(scope="module")
+def untouched():
+    library = Tokenizer.from_file(PATH)
+    return lambda text: [*library.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+MARK = "<|endoftext|>"
+MARKED = ["end of one.<|endoftext|>Next begins", MARK, MARK * 3, f"a  {MARK} b \n{MARK}\nC", f" {MARK} {MARK}", "<|endoftext|", "|>x", f"<|endof{MARK}", f"it{MARK}'s"]
+
+
+def test_added_tokens_as_in_an_untouched_library(untouched):
+    rng = random.Random(5)
+    pieces = [MARK, "<|endof", "text|>", "<", "|", ">", " ", "  ", "\n", "Ab", ".", "'s", "é", "12"]
+    texts = MARKED + ["".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(4000)]
+    got = [ids.tolist() for _, ids in tokens.documents(pa.array(texts, pa.string()), PATH, added=True)]
+    assert got == [untouched(t) for t in texts] and got[0] == [437, 286, 530, 13, 50256, 10019, 6140, 0]
+
+
+@pytest.mark.parametrize("block", [1, 7, 20, 64])
+def test_added_tokens_of_long_texts(untouched, monkeypatch, block):
+    monkeypatch.setattr(tokens, "_BLOCK", block)
+    rng = random.Random(block)
+    texts = ["".join(rng.choices([MARK, " ", "word", ".", "\n", "<|", "x "], k=60)) for _ in range(60)]
+    got = [ids.tolist() for _, ids in tokens.documents(pa.array(texts, pa.string()), PATH, added=True)]
+    assert got == [untouched(t) for t in texts]
+
+
+def test_files_and_packing_of_added_tokens(spark, untouched):
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    folder = shared_dir(spark, "files")
+    rows = token_files.read_shards(spark, folder, token_files.write_shards(docs, folder, PATH)).collect()
+    check_files(rows, list(enumerate(MARKED)), untouched)
+    ids = defaultdict(list)
+    for r in sorted(packing.pack_documents(docs, PATH).collect(), key=lambda r: r["start"]):
+        ids[r["doc_id"]] += np.frombuffer(r["ids"], "<u2").tolist()
+    assert ids == {i: untouched(t) for i, t in enumerate(MARKED)}
