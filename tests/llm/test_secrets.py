@@ -91,6 +91,13 @@ def test_whole_values_and_tokens_are_masked(spark):
     assert {r["text"] for r in copied.collect()} == {"<SECRET> <SECRET>ab"}
 
 
+def test_a_secret_of_one_owner_is_masked_in_all_its_documents(spark):
+    mine, common = "ghp_Ab12Cd34Ef56Gh78Ij90Kl", "ghp_Zz99Yy88Xx77Ww66Vv55Uu"
+    rows = [(i, f"use {mine} not {common}" if i < 40 else f"see {common}", "hot" if i < 40 else f"s{i % 5}") for i in range(60)]
+    masked = secrets.masked_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"]: r["text"] for r in masked} == {i: t.replace(mine, "<SECRET>") for i, t, _ in rows}
+
+
 def test_odd_rows(odd_docs, no_docs):
     found = secrets.scan(odd_docs)
     assert collections.Counter(r["repo"] for r in found.collect()) == collections.Counter(r["doc_id"] for r in odd_docs.select("doc_id").collect())
