@@ -1,6 +1,6 @@
 """Queries that fit models, over all folds, seeds, cutoffs, steps and trials of the protocols.
-Numbers of iterations, rounds and trees are parameters, smaller here than the published
-defaults of the operators. Fitting is not expressible in SQL, so these have no SQL twin."""
+Iterations, rounds, trees, depths and steps are the published ones, the operators' defaults.
+Fitting is not expressible in SQL, so these have no SQL twin."""
 
 from pyspark.sql import functions as F
 
@@ -33,21 +33,25 @@ def _cutoff_rows(inp):
 
 #: Folds on which models are scored (the published three) and from which thresholds are learned (all).
 SCORED, ALL_FOLDS = (0, 1, 2), tuple(range(ORDERS_STUDY.n_folds))
-ITERATIONS, TREES, ROUNDS, DEPTH, TRIALS = 10, 20, 3, 3, 16
+TRIALS = 16
 
 
 def _logit(names, target="y"):
-    return lambda: L.logistic(names, target, max_iter=ITERATIONS)
+    return lambda: L.logistic(names, target)
 
 
 def _trees(names, target="y"):
-    return lambda: L.boosted(names, target, rounds=ROUNDS, depth=DEPTH, step=0.3)
+    return lambda: L.boosted(names, target)
+
+
+def _forest(names, target="y"):
+    return lambda: L.forest(names, target)
 
 
 @query("model_comparison", "model macro_f1:f macro_f1_std:f balanced_acc:f")
 def model_comparison(inp):
     rows, names = _rows(inp)
-    makers = {"logistic": _logit(names), "forest": lambda: L.forest(names, trees=TREES, depth=8), "boosted": _trees(names)}
+    makers = {"logistic": _logit(names), "forest": _forest(names), "boosted": _trees(names)}
     return L.cross_validate(rows, makers, folds=SCORED)
 
 
@@ -57,7 +61,7 @@ def hyper_parameter_search(inp):
     spark = rows.sparkSession
     store = SweepStore(spark, shared_dir(spark, "sweeps"))
     make = lambda max_iter, reg: L.logistic(names, max_iter=max_iter, reg=reg)
-    _, trials = L.random_search(rows, make, {"max_iter": [5, 10, 20], "reg": [0.0, 0.001, 0.01, 0.1]}, TRIALS, 42, folds=SCORED,
+    _, trials = L.random_search(rows, make, {"max_iter": [100, 200, 300], "reg": [0.0, 0.001, 0.01, 0.1]}, TRIALS, 42, folds=SCORED,
                                 store=store, name="logistic_run42")
     return trials
 
@@ -83,7 +87,7 @@ def renewal_stage_quality(inp):
 @query("regression_arms", "arm move_f1:f move_f1_std:f rmse:f")
 def regression_arms(inp):
     rows, names = _rows(inp)
-    return L.regression_cv(rows, names, inp.cfg, folds=SCORED, rounds=ROUNDS, depth=DEPTH, step=0.3)
+    return L.regression_cv(rows, names, inp.cfg, folds=SCORED)
 
 
 @query("walk_forward_scores", "test_month:i accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
@@ -114,7 +118,7 @@ def single_feature_recovery(inp):
 @query("fitted_importance_robustness", "feature mean_share:f sd_share:f se_share:f median_share:f mean_rank:f top5_count:i top10_count:i n_runs:i")
 def fitted_importance_robustness(inp):
     rows, names = _rows(inp)
-    gains = L.importance_runs(rows, lambda: L.forest(names, trees=TREES, depth=8), names, inp.cfg, RUN_SEEDS)
+    gains = L.importance_runs(rows, _forest(names), names, inp.cfg, RUN_SEEDS)
     return importance_robustness(importance_shares(gains))
 
 

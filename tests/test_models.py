@@ -52,3 +52,17 @@ def test_two_stage(rows):
 def test_regression_arms(rows):
     got = {r["arm"]: r for r in L.regression_cv(rows, NAMES, CFG, folds=(0,), rounds=3, depth=3, step=0.5).collect()}
     assert got["volume"]["move_f1"] > 0.9 and got["ratio"]["move_f1"] > 0.9 and got["ratio"]["rmse"] < 0.5
+
+
+def test_queries_fit_the_published_sizes(spark, monkeypatch):
+    from renewscope.plans import model_queries as Q
+
+    logit, forest, trees = (make(NAMES)().getStages()[-1] for make in (Q._logit, Q._forest, Q._trees))
+    assert logit.getMaxIter() == 300 and (forest.getNumTrees(), forest.getMaxDepth()) == (200, 12)
+    boosted = trees.getClassifier()
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (400, 6, 0.05)
+    given = {}
+    monkeypatch.setattr(Q, "_rows", lambda inp: (None, NAMES))
+    monkeypatch.setattr(Q.L, "regression_cv", lambda *a, **b: given.update(b))
+    getattr(Q.regression_arms, "__wrapped__", Q.regression_arms)(type("I", (), {"cfg": CFG}))
+    assert set(given) == {"folds"}
