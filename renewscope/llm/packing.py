@@ -47,7 +47,10 @@ class Piece:
 
 
 class Packer:
-    """Packs the documents of one partition; memory holds at most WAITING ids and what was packed of them."""
+    """Packs the documents of one partition; memory holds at most WAITING ids and what was packed of them.
+
+    Pieces below half of the shortest tier fill gaps; where so many wait that they alone reach half
+    of the limit, the shortest tier is packed from them."""
 
     def __init__(self, window: int = WINDOW, shortest: int = SHORTEST, waiting: int = WAITING):
         self.tiers = [window >> k for k in range(window.bit_length()) if window >> k >= min(shortest, window)]
@@ -84,6 +87,9 @@ class Packer:
         for tier in self.tiers:
             while self.pool and self.pool[-1].length > tier // 2 and self.held >= tier:
                 self._fill(tier)
+        if self.held > self.waiting // 2:
+            while self.held >= self.tiers[-1]:
+                self._fill(self.tiers[-1])
         if last:
             tier = self.window
             while self.held:  # less than the shortest tier, or than the longest piece's: powers of two

@@ -205,3 +205,19 @@ def test_files_and_packing_of_added_tokens(spark, untouched):
     for r in sorted(packing.pack_documents(docs, PATH).collect(), key=lambda r: r["start"]):
         ids[r["doc_id"]] += np.frombuffer(r["ids"], "<u2").tolist()
     assert ids == {i: untouched(t) for i, t in enumerate(MARKED)}
+
+
+def test_packer_does_not_keep_short_pieces():
+    packer = packing.Packer(window=256, shortest=64, waiting=1000)
+    windows, given, packed = [], 0, 0
+    for doc in range(5000):
+        n = doc % 4 + 1 if doc % 100 else 300
+        given += n
+        packer.add(doc, np.arange(n))
+        if packer.ready():
+            packed += 1
+            windows += packer.pack()
+            assert packer.held <= 500
+    windows += packer.pack(last=True)
+    assert packed < 55 and packer.held == 0 and sum(p.length for w in windows for p in w) == given
+    assert all(sum(p.length for p in w) in (256, 128, 64) for w in windows[:-7])
