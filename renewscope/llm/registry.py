@@ -4,7 +4,7 @@ from importlib import import_module
 
 _MODULES = (
     "ppm_query", "mixing_query", "quality_query", "simhash_query", "toxicity_query", "token_files_query",
-    "packing_query", "secrets_query", "pivots_query", "forest_query", "fingerprints_query", "filter_audit_query",
+    "packing_query", "secrets_query", "pivots_query", "forest_query", "fingerprints_query", "variants_query", "filter_audit_query",
 )
 
 
