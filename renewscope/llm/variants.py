@@ -1,11 +1,12 @@
 """Spelling variants by an index of grams of variable length.
 
-Words are counted over the whole corpus. A gram dictionary is pruned by frequency: a gram that more words hold
+Words are counted over the whole corpus. A gram dictionary is pruned by frequency: a gram that more places hold
 than a threshold is not used as it is but grows by the next letter, so that rare beginnings give short grams and
-common ones long grams. Every position of a word gives one gram, which depends on its own letters alone; an
-edit affects the grams that cover its place. A word of g grams, of which no edit affects more than a,
-shares g - a grams with any word one edit away, so that it is enough to merge the lists of its a + 1
-rarest grams. What lists have in common is verified by edit distance.
+common ones long grams. Every place of a word gives one gram, which depends on its own letters alone, so an edit
+affects just the grams that cover its letter. A word looks into the lists of the two rarest of its grams that have no
+letter in common: one edit can't affect both. An edit also leaves all that stands on one side of a gram as it
+is, so a gram has a list for each text before it and for each text behind it, and lists stay short however many words
+share the gram. Words that meet in a list are verified by edit distance.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ from renewscope.session import through_table
 
 LETTERS = "[A-Za-z\\u00C0-\\u00FF]"
 LEAST_LENGTH, LEAST_COUNT, ONE_IN, FACTOR = 7, 2, 31, 10
-#: Shortest and longest gram. Words of LEAST_LENGTH letters and an end mark have as many grams as letters, and the
-#: longest gram is below that, so each word shares at least one gram with any word one edit away.
-SHORTEST, LONGEST = 2, 6
+#: Shortest and longest gram; a word has a gram at each letter, so one at place LONGEST that the first can't reach.
+SHORTEST, LONGEST = 2, 4
 #: A gram grows if over this many places have it, or over one in MAX_GRAMS of all places: the dictionary has
 #: fewer than MAX_GRAMS grams a length, which bounds what is broadcast, whatever the corpus.
 FREQUENT, MAX_GRAMS = 64, 1 << 18
@@ -57,34 +57,30 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(int(at), int(end - at))
 
 
-def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of all words, each with an end mark, as numbers below 256, and the words' n + 1 offsets."""
-    listed = [w.encode("latin-1") + bytes([_END]) for w in words.to_pylist()]
-    ends = np.concatenate(([0], np.cumsum([len(w) for w in listed], dtype=np.int64))).astype(np.int64)
-    return np.frombuffer(b"".join(listed), np.uint8).astype(np.int64), ends
+def _by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Words of one size at a time, with their letters and an end mark as rows of numbers below 256."""
+    for batch in (part for whole in batches for part in _slices(whole)):
+        listed = [w.encode("latin-1") for w in batch.column(0).to_pylist()]
+        sizes = np.array([len(w) for w in listed], np.int64)
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            letters = np.frombuffer(b"".join(listed[i] for i in rows), np.uint8).reshape(len(rows), size)
+            yield batch.take(pa.array(rows)), np.pad(letters, ((0, 0), (0, 1)), constant_values=_END).astype(np.int64)
 
 
 def _codes(letters: np.ndarray, length: int) -> np.ndarray:
-    """A number for the `length` letters from each place on; what lies behind the last letter counts as 0."""
-    out = np.zeros(len(letters), np.int64)
-    for i in range(length):
-        out <<= 8
-        out[: len(letters) - i] |= letters[i:] if i else letters
+    """A number for the `length` letters from each place on; places nearer to the end than that have none."""
+    wide = letters.shape[1] - length + 1
+    out = np.zeros((len(letters), max(wide, 0)), np.int64)
+    for i in range(length if wide > 0 else 0):
+        out = out << 8 | letters[:, i : i + wide]
     return out
 
 
-def _room(ends: np.ndarray) -> np.ndarray:
-    """Letters from each place to the end of its word, the end mark included."""
-    sizes = np.diff(ends)
-    return np.repeat(ends[1:], sizes) - np.arange(ends[-1])
-
-
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in _slices(whole)):
-        letters, ends = _letters(batch.column(0))
-        room = _room(ends)
+    for _, letters in _by_size(batches):
         for length in range(SHORTEST, LONGEST + 1):
-            codes, n = np.unique(_codes(letters, length)[room > length], return_counts=True)
+            codes, n = np.unique(_codes(letters, length), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), length, np.int32)), pa.array(codes), pa.array(n.astype(np.int64))], ["length", "code", "n"])
 
 
@@ -101,81 +97,124 @@ def gram_dictionary(words: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]
 def _frequency(grams: dict, length: int, codes: np.ndarray) -> np.ndarray:
     """Frequencies of the codes that the dictionary has, 0 for all others."""
     if length not in grams:
-        return np.zeros(len(codes), np.int64)
+        return np.zeros(codes.shape, np.int64)
     known, n = grams[length]
     at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
     return np.where(known[at] == codes, n[at], 0)
 
 
-def decompose(letters: np.ndarray, ends: np.ndarray, grams: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every place that begins a gram: the place, the gram's length, its number, its frequency (0: rare)."""
-    room = _room(ends)
-    places = np.flatnonzero(room >= SHORTEST)
-    room = room[places]
-    length = np.full(len(places), SHORTEST, np.int64)
-    code = _codes(letters, SHORTEST)[places]
+def decompose(letters: np.ndarray, grams: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length, number and frequency (0: rare) of the gram at each letter of words of one size."""
+    size = letters.shape[1] - 1
+    length, code = np.full((len(letters), size), SHORTEST, np.int64), _codes(letters, SHORTEST)
     often = _frequency(grams, SHORTEST, code)
     for more in range(SHORTEST + 1, LONGEST + 1):
-        grow = np.flatnonzero((length == more - 1) & (often > 0) & (room >= more))
-        length[grow], code[grow] = more, _codes(letters, more)[places[grow]]
-        often[grow] = _frequency(grams, more, code[grow])
-    return places, length, code, often
+        longer = _codes(letters, more)
+        wide = longer.shape[1]
+        grow = (length[:, :wide] == more - 1) & (often[:, :wide] > 0)
+        length[:, :wide][grow] = more
+        code[:, :wide][grow] = longer[grow]
+        often[:, :wide][grow] = _frequency(grams, more, longer[grow])
+    return length, code, often
+
+
+def apart(length: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of two grams of each word that have no letter in common, those of least frequency together.
+
+    One edit affects the grams that cover one letter, so at most one of the two."""
+    rows, size = length.shape
+    every = np.arange(rows)
+    # The rarest gram that ends at a place or before, and the best pair so far.
+    none = np.iinfo(np.int64).max // 4
+    ended, where = np.full((rows, size + 2), none), np.zeros((rows, size + 2), np.int64)
+    best, first, second = np.full(rows, 2 * none), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    for p in range(size):
+        if p:
+            better = ended[:, p - 1] < ended[:, p]
+            ended[better, p], where[better, p] = ended[better, p - 1], where[better, p - 1]
+        both = ended[:, p] + often[:, p]
+        better = both < best
+        best[better], first[better], second[better] = both[better], where[better, p], p
+        stop = p + length[:, p]
+        better = often[:, p] < ended[every, stop]
+        ended[every[better], stop[better]], where[every[better], stop[better]] = often[better, p], p
+    return first, second
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(*parts) -> np.ndarray:
+    """A number of 64 bits for equal parts; others meet by chance only, and words that meet are verified."""
+    out = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for part in parts:
+            out = (out ^ np.asarray(part).astype(np.uint64)) * _MIX
+            out = out ^ (out >> np.uint64(29))
+    return out
+
 
+def _sides(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the letters before each place, and of those from each place on."""
+    rows, wide = letters.shape
+    before, behind = np.zeros((rows, wide + 1), np.uint64), np.zeros((rows, wide + 1), np.uint64)
+    for i in range(wide):
+        before[:, i + 1] = _mixed(before[:, i], letters[:, i])
+        behind[:, wide - 1 - i] = _mixed(behind[:, wide - i], letters[:, wide - 1 - i])
+    return before, behind
 
-def affected(start: np.ndarray, length: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
-    """For each word the most grams that one edit can affect: those that cover one letter.
 
-    `start` counts from the beginning of all words' letters, of which there are `size`."""
-    cover = np.zeros(size + 1, np.int64)
-    np.add.at(cover, start, 1)
-    np.add.at(cover, start + length, -1)
-    cover = np.cumsum(cover)[:size]
-    return np.maximum.reduceat(cover, word) if len(word) else np.zeros(0, np.int64)
+def _rows(batch: pa.RecordBatch, keys: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Each word with each of its keys."""
+    rows = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
+    return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], names)
 
 
-def _lists(grams: dict):
-    """Writes the lists of each word's rarest grams, as many as an edit can affect and one more."""
+_BEFORE, _BEHIND = 0, 1
+
+
+def _held(grams: dict):
+    """Every gram of every word in its two lists: gram, size, place and what stands before it, or behind it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _slices(whole)):
-            letters, ends = _letters(batch.column(0))
-            place, length, code, often = decompose(letters, ends, grams)
-            owner = np.searchsorted(ends, place, side="right") - 1
-            needed = affected(place, length, ends[:-1], len(letters)) + 1
-            # Rarest first; equal grams by place, so that two words have them in the same order.
-            order = np.lexsort((place, code, length, often, owner))
-            first = np.searchsorted(owner[order], np.arange(len(ends) - 1))
-            rank = np.arange(len(order)) - first[owner[order]]
-            take = order[rank < needed[owner[order]]]
-            owner, at = owner[take], place[take] - ends[owner[take]]
-            rows = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(length[take].astype(np.int32)), pa.array(code[take]),
-                 pa.array((ends[owner + 1] - ends[owner] - 1).astype(np.int32)), pa.array(at.astype(np.int32))],
-                ["word", "n", "length", "code", "size", "at"])
+        for batch, letters in _by_size(batches):
+            size = letters.shape[1] - 1
+            length, code, _ = decompose(letters, grams)
+            before, behind = _sides(letters)
+            place = np.arange(size)[None, :]
+            yield _rows(batch, _mixed(code, length, size, place, _BEFORE, before[:, :size]), ["key", "a", "a_n"])
+            yield _rows(batch, _mixed(code, length, size, place, _BEHIND, np.take_along_axis(behind, place + length, 1)), ["key", "a", "a_n"])
 
     return run
 
 
-def _key(size: Column, at: Column) -> Column:
-    """A list's number: the gram, the size of the longer word and the gram's place in it."""
-    return F.xxhash64("length", "code", size, at)
+def _asked(grams: dict):
+    """The lists that a word looks into, by two grams that no edit affects both, for words of its size and of one
+    letter more: letters before the edit stay, those behind it move by one in the longer word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, letters in _by_size(batches):
+            size = letters.shape[1] - 1
+            length, code, often = decompose(letters, grams)
+            before, behind = _sides(letters)
+            place = np.stack(apart(length, often), 1)
+            gram = np.take_along_axis(code, place, 1), np.take_along_axis(length, place, 1)
+            left, right = np.take_along_axis(before, place, 1), np.take_along_axis(behind, place + gram[1], 1)
+            yield _rows(batch, np.concatenate([
+                _mixed(*gram, size, place, _BEFORE, left), _mixed(*gram, size, place, _BEHIND, right),
+                _mixed(*gram, size + 1, place, _BEFORE, left), _mixed(*gram, size + 1, place + 1, _BEHIND, right)], 1), ["asked", "b", "b_n"])
+
+    return run
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, a_n, b, b_n of all words that differ by exactly one letter put in, left out or replaced, both ways round.
 
-    Two words of one size meet where they hold a gram at the same place; a word meets one that
-    is a letter longer where that has the gram at the same place or one further, as letters before the
-    edit stay and those behind it move by one. `words`, a written table, has distinct words of at least
-    LEAST_LENGTH letters, and is read twice."""
+    `words`, a written table that is read three times, has distinct words of at least LONGEST + 1 letters. The dictionary, whose size
+    is bounded, goes to every task; lists are never gathered but joined."""
     grams = gram_dictionary(words)
-    lists = words.mapInArrow(_lists(grams), "word string, n long, length int, code long, size int, at int")
-    lists = through_table(lists, "gram-lists")
-    held = lists.select(_key(F.col("size"), F.col("at")).alias("key"), F.col("word").alias("a"), F.col("n").alias("a_n"))
-    size, at = F.col("size"), F.col("at")
-    keys = F.array(_key(size, at), _key(size + 1, at), _key(size + 1, at + 1))
-    asked = lists.select(F.explode(keys).alias("asked"), F.col("word").alias("b"), F.col("n").alias("b_n"))
+    held = words.mapInArrow(_held(grams), "key long, a string, a_n long")
+    asked = words.mapInArrow(_asked(grams), "asked long, b string, b_n long")
     alike = F.levenshtein(F.col("a"), F.col("b"), 1) == 1
     # Words of one size ask each other: one way is enough.
     once = (F.length("a") != F.length("b")) | (F.col("a") < F.col("b"))
