@@ -65,8 +65,12 @@ def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
                     probs: Sequence[float]) -> DataFrame:
     """(groups, prob, quantile, n) with linear interpolation between order statistics."""
+    return quantiles_of_counts(value_counts(df, groups, value), groups, probs)
+
+
+def quantiles_of_counts(counts: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """The same from (groups, _v, _n, _b) as value_counts gives them, or sums of such counts."""
     groups = list(groups)
-    counts = value_counts(df, groups, value)
     wanted = (
         _buckets(counts, groups)
         .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))

@@ -37,7 +37,7 @@ def with_fixed_split(events: DataFrame, cfg: StudyConfig) -> DataFrame:
     )
 
 
-def _run_columns(seed: Column, cfg: StudyConfig) -> dict[str, Column]:
+def run_columns(seed: Column, cfg: StudyConfig) -> dict[str, Column]:
     user = F.col("msno")
     held = user_uniform(user, F.concat_ws(":", F.lit("ho"), seed)) < cfg.holdout_frac
     fold = F.floor(user_uniform(user, F.concat_ws(":", F.lit("fold"), seed)) * cfg.n_folds).cast("int")
@@ -49,13 +49,13 @@ def _run_columns(seed: Column, cfg: StudyConfig) -> dict[str, Column]:
 
 def assign_run_split(events: DataFrame, seed: int, cfg: StudyConfig) -> DataFrame:
     """Fresh holdout and folds of one run."""
-    return events.withColumns(_run_columns(F.lit(str(seed)), cfg))
+    return events.withColumns(run_columns(F.lit(str(seed)), cfg))
 
 
 def assign_all_run_splits(events: DataFrame, cfg: StudyConfig, seeds: Sequence[int] = RUN_SEEDS) -> DataFrame:
     """All runs at once: one row per event and seed."""
     with_seed = events.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    return with_seed.withColumns(_run_columns(F.col("seed").cast("string"), cfg))
+    return with_seed.withColumns(run_columns(F.col("seed").cast("string"), cfg))
 
 
 def development(events: DataFrame) -> DataFrame:

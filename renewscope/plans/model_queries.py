@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from renewscope.config import ORDERS_STUDY, RUN_SEEDS
 from renewscope.operators import models as L
+from renewscope.operators import protocols as P
 from renewscope.operators.labels import core
 from renewscope.operators.metrics import importance_robustness, importance_shares
+from renewscope.operators.splits import stratified_subsample
 from renewscope.plans.catalog import query
 from renewscope.plans.engineered import engineered_events, rebuilt_at_cutoffs
 from renewscope.plans.labelled import labelled_events
 from renewscope.session import shared_dir, through_table
 from renewscope.sources.contract import FeatureContract
-from renewscope.sources.stores import SweepStore
+from renewscope.sources.stores import TrialLedger
 
 
 def _rows(inp):
@@ -34,14 +36,13 @@ def _cutoff_rows(inp):
 #: Folds on which models are scored (the published three) and from which thresholds are learned (all).
 SCORED, ALL_FOLDS = (0, 1, 2), tuple(range(ORDERS_STUDY.n_folds))
 TRIALS = 16
+#: Tuning and model comparison look at this many rows at most, class by class, as published.
+SUBSAMPLE = 200_000
+STRENGTHS = (0.01, 0.1, 1.0, 10.0)
 
 
-def _logit(names, target="y"):
-    return lambda: L.logistic(names, target)
-
-
-def _trees(names, target="y"):
-    return lambda: L.boosted(names, target)
+def _subsample(rows):
+    return stratified_subsample(rows, "label", SUBSAMPLE, ["msno", "E"], 42)
 
 
 def _forest(names, target="y"):
@@ -51,37 +52,36 @@ def _forest(names, target="y"):
 @query("model_comparison", "model macro_f1:f macro_f1_std:f balanced_acc:f")
 def model_comparison(inp):
     rows, names = _rows(inp)
-    makers = {"logistic": _logit(names), "forest": _forest(names), "boosted": _trees(names)}
-    return L.cross_validate(rows, makers, folds=SCORED)
+    rows = through_table(_subsample(rows), "compared-rows")
+    linear = P.cross_validated(P.prepare(rows, names), inp.cfg, {"logistic": {}}, SCORED)
+    return linear.unionByName(L.cross_validate(rows, {"forest": _forest(names)}, folds=SCORED))
 
 
-@query("hyper_parameter_search", "trial max_iter:i reg:f macro_f1:f macro_f1_std:f balanced_acc:f")
+@query("hyper_parameter_search", "trial c:f max_iter:i macro_f1:f macro_f1_std:f balanced_acc:f")
 def hyper_parameter_search(inp):
     rows, names = _rows(inp)
     spark = rows.sparkSession
-    store = SweepStore(spark, shared_dir(spark, "sweeps"))
-    make = lambda max_iter, reg: L.logistic(names, max_iter=max_iter, reg=reg)
-    _, trials = L.random_search(rows, make, {"max_iter": [100, 200, 300], "reg": [0.0, 0.001, 0.01, 0.1]}, TRIALS, 42, folds=SCORED,
-                                store=store, name="logistic_run42")
-    return trials
+    ledger = TrialLedger(spark, shared_dir(spark, "sweeps"), "logistic_run42")
+    grid = {"c": [0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0], "max_iter": [100, 200, 300]}
+    return P.random_search(P.prepare(_subsample(rows), names), inp.cfg, grid, TRIALS, 42, ledger, SCORED)
 
 
-@query("repeated_holdout_runs", "seed:i model accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
+@query("repeated_holdout_runs", "seed:i model c:f accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
 def repeated_holdout_runs(inp):
     rows, names = _rows(inp)
-    return L.repeated_holdout(rows, {"logistic": _logit(names)}, inp.cfg, RUN_SEEDS)
+    return P.repeated_holdout(rows, names, inp.cfg, RUN_SEEDS, STRENGTHS, SCORED)
 
 
 @query("two_stage_runs", "seed:i model best_tau:f accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
 def two_stage_runs(inp):
     rows, names = _rows(inp)
-    return L.two_stage_runs(rows, _logit(names, "renew"), _logit(names, "move"), inp.cfg, RUN_SEEDS, folds=ALL_FOLDS)
+    return P.two_stage_runs(rows, names, inp.cfg, RUN_SEEDS, ALL_FOLDS)
 
 
 @query("renewal_stage_quality", "roc_auc:f average_precision:f macro_f1:f")
 def renewal_stage_quality(inp):
     rows, names = _rows(inp)
-    return L.stage_one_quality(rows, _logit(names, "renew"))
+    return P.stage_one_quality(rows, names, inp.cfg)
 
 
 @query("regression_arms", "arm move_f1:f move_f1_std:f rmse:f")
@@ -90,29 +90,36 @@ def regression_arms(inp):
     return L.regression_cv(rows, names, inp.cfg, folds=SCORED)
 
 
-@query("walk_forward_scores", "test_month:i accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
+@query("walk_forward_scores", "protocol test_month:i accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
 def walk_forward_scores(inp):
     rows, names = _rows(inp)
-    return L.walk_forward(rows, _logit(names), steps=L.walk_forward_steps(rows))
+    return P.walk_forward(rows, names, inp.cfg, L.walk_forward_steps(rows))
 
 
 @query("accuracy_decay_by_cutoff", "cutoff_days:i macro_f1:f macro_f1_std:f balanced_acc:f")
 def accuracy_decay_by_cutoff(inp):
     rows, names = _cutoff_rows(inp)
-    return L.decay_by_cutoff(rows, _logit(names), inp.cfg.cutoffs, inp.cfg, folds=SCORED)
+    return P.fold_means(P.decay_by_fold(rows, names, inp.cfg.cutoffs, inp.cfg, folds=SCORED), ["cutoff_days"])
+
+
+@query("accuracy_decay_by_fold", "cutoff_days:i fold:i macro_f1:f balanced_acc:f difference:f")
+def accuracy_decay_by_fold(inp):
+    rows, names = _cutoff_rows(inp)
+    return P.decay_by_fold(rows, names, inp.cfg.cutoffs, inp.cfg, folds=SCORED)
 
 
 @query("two_stage_decay_by_cutoff", "cutoff_days:i derived:f stage1:f stage2:f")
 def two_stage_decay_by_cutoff(inp):
     rows, names = _cutoff_rows(inp)
-    return L.two_stage_decay(rows, _logit(names, "renew"), _logit(names, "move"), inp.cfg.cutoffs, 0.475,
-                             inp.cfg, folds=SCORED)
+    return P.two_stage_decay(rows, names, inp.cfg.cutoffs, 0.475, inp.cfg, folds=SCORED)
 
 
 @query("single_feature_recovery", "seed:i single:f full:f recovered:f")
 def single_feature_recovery(inp):
     rows, names = _rows(inp)
-    return L.single_feature_recovery(rows, _logit(["is_auto_renew"]), _logit(names), inp.cfg, RUN_SEEDS)
+    scored = P.repeated_holdout(rows, names, inp.cfg, RUN_SEEDS, (1.0,), features={"single": ["is_auto_renew"], "full": None})
+    wide = scored.groupBy("seed").pivot("model", ["single", "full"]).agg(F.first("macro_f1"))
+    return wide.withColumn("recovered", F.col("single") / F.col("full"))
 
 
 @query("fitted_importance_robustness", "feature mean_share:f sd_share:f se_share:f median_share:f mean_rank:f top5_count:i top10_count:i n_runs:i")

@@ -79,6 +79,31 @@ class SweepStore:
         return self.spark.read.parquet(self._path(name, "trials"))
 
 
+class TrialLedger:
+    """One committed record a trial: a table of its own that counts once its commit marker is there.
+
+    A driver that is lost between two trials finds all that were committed; a record that was
+    begun is written again. Trials are numbered by their draw, so a rerun knows which are missing."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str):
+        self.spark, self.root = spark, f"{root.rstrip('/')}/{name}"
+
+    def _path(self, trial: int) -> str:
+        return f"{self.root}/trial-{trial:06d}"
+
+    def missing(self, n: int) -> list[int]:
+        return [i for i in range(n) if not table_complete(self.spark, self._path(i))]
+
+    def commit(self, trial: int, record: dict) -> None:
+        self.spark.createDataFrame([record]).coalesce(1).write.mode("overwrite").parquet(self._path(trial))
+
+    def records(self, n: int) -> DataFrame:
+        """All committed trials; every one of the `n` must be there."""
+        if lost := self.missing(n):
+            raise ValueError(f"trials that aren't committed: {lost}")
+        return self.spark.read.parquet(*[self._path(i) for i in range(n)])
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A result table as CSV with a header. Reports are summaries of bounded size, so
     one file is written; no event-level table may be passed here."""

@@ -55,12 +55,13 @@ def test_regression_arms(rows):
 
 
 def test_queries_fit_the_published_sizes(spark, monkeypatch):
+    from renewscope.operators.fits import Fit
     from renewscope.plans import model_queries as Q
 
-    logit, forest, trees = (make(NAMES)().getStages()[-1] for make in (Q._logit, Q._forest, Q._trees))
-    assert logit.getMaxIter() == 300 and (forest.getNumTrees(), forest.getMaxDepth()) == (200, 12)
-    boosted = trees.getClassifier()
-    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (400, 6, 0.05)
+    fit = Fit("one", "y", 4, "user_fold", frozenset({0}))
+    assert (fit.max_iter, fit.c) == (300, 1.0) and Q.SUBSAMPLE == 200_000 and Q.TRIALS == 16
+    forest = Q._forest(NAMES)().getStages()[-1]
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (200, 12)
     given = {}
     monkeypatch.setattr(Q, "_rows", lambda inp: (None, NAMES))
     monkeypatch.setattr(Q.L, "regression_cv", lambda *a, **b: given.update(b))
