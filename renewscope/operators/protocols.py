@@ -15,13 +15,21 @@ from renewscope.config import StudyConfig
 from renewscope.functions.scalar import argmax_index
 from renewscope.operators import metrics as M
 from renewscope.operators.features import categorical_columns, numeric_columns
-from renewscope.operators.fits import Design, Fit, design, fit_together, score_routed
-from renewscope.operators.models import draw_configs
+from renewscope.operators.boosting import Boost, Forest, binned, boost_together, boosted_scores
+from renewscope.operators.fits import Design, Fit, Fitted, design, fit_together, score_routed, solve_together
+from renewscope.operators.models import draw_configs, regression_target
 from renewscope.operators.splits import run_columns
 from renewscope.sources.stores import TrialLedger
 
 HELD = -1
-CLASSES = {"y": 4, "renew": 2, "move": 3}
+#: Classes of each target; the regressed ones have none.
+CLASSES = {"y": 4, "renew": 2, "move": 3, "t_volume": 1, "t_ratio": 1}
+ARMS = ("volume", "ratio")
+
+
+def with_arms(rows: DataFrame) -> DataFrame:
+    """`t_volume` and `t_ratio`: what the regression arms predict, for renewers."""
+    return rows.withColumns({f"t_{a}": F.when(F.col("renewed") == 1, regression_target(a)) for a in ARMS})
 
 
 def prepare(rows: DataFrame, names: Sequence[str], splits: dict[str, Column] | None = None) -> Design:
@@ -53,8 +61,13 @@ def assert_no_leak(fits: Sequence[Fit]) -> None:
 
 
 def _run(d: Design, fits: Sequence[Fit], carried: Sequence[str]) -> DataFrame:
+    """Rows scored under all fits: classifiers advance together, regressions are solved together."""
     assert_no_leak(fits)
-    return score_routed(d, fit_together(d, fits), carried)
+    coefficients = {}
+    for solve, part in ((fit_together, [f for f in fits if f.classes > 1]), (solve_together, [f for f in fits if f.classes == 1])):
+        if part:
+            coefficients |= solve(d, part).coefficients
+    return score_routed(d, Fitted(list(fits), coefficients, {}), carried)
 
 
 def _named(scored: DataFrame, *names: str) -> DataFrame:
@@ -155,29 +168,83 @@ def month_splits() -> dict[str, Column]:
     return {"month": F.when(F.col("is_holdout") == 0, F.col("month_idx")).otherwise(HELD)}
 
 
+def _arm_class(arm: str, cfg: StudyConfig, tau) -> Column:
+    """Class by a regression arm: the renewal stage's threshold, then the movement that the predicted ratio means."""
+    ratio = M.ratio_from_prediction(F.get(f"t_{arm}_p", F.lit(0)), F.col("pre_secs"), arm)
+    return M.threshold_class(F.col("p_renew"), M.ratio_to_movement(ratio, cfg), tau)
+
+
+def _arm_taus(scored: DataFrame, cfg: StudyConfig, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, protocol, tau): the best threshold of the two-stage classifier and of each arm on the rows given."""
+    ways = {"two_stage": F.col("movement")} | {f"regression_{a}": M.ratio_to_movement(M.ratio_from_prediction(F.get(f"t_{a}_p", F.lit(0)), F.col("pre_secs"), a), cfg) for a in ARMS}
+    views = F.explode(F.array(*[F.struct(F.lit(n).alias("protocol"), m.alias("movement")) for n, m in ways.items()]))
+    long = scored.select(*groups, "y", "p_renew", views.alias("v")).select(*groups, "y", "p_renew", "v.*")
+    return M.best_tau(long, groups=[*groups, "protocol"]).drop("macro_f1")
+
+
+def _all_ways(scored: DataFrame, cfg: StudyConfig, tau) -> Column:
+    """(protocol, p) of the direct and the two-stage classifier and of both regression arms; `tau` gives a protocol's threshold."""
+    return F.explode(F.array(
+        F.struct(F.lit("direct").alias("protocol"), argmax_index(F.col("y_p")).alias("p")),
+        F.struct(F.lit("two_stage").alias("protocol"), M.threshold_class(F.col("p_renew"), F.col("movement"), tau("two_stage")).alias("p")),
+        *[F.struct(F.lit(f"regression_{a}").alias("protocol"), _arm_class(a, cfg, tau(f"regression_{a}")).alias("p")) for a in ARMS]))
+
+
+STAGES = ("y", "renew", "move", "t_volume", "t_ratio")
+
+
 def walk_forward(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, steps: Sequence[int], tau: float | None = None) -> DataFrame:
-    """(protocol, test_month, scores) of the direct and the two-stage classifier: learn from months up to t, score month t + 1.
+    """(protocol, test_month, scores) of the direct classifier, the two-stage one and both regression arms: learn from
+    months up to t, score month t + 1.
 
     A month's statistics are collected once and merged in the order of time; in each pass a row serves all steps
-    that learn from its month. The two-stage threshold, unless given, is learned from out-of-fold scores of all
+    that learn from its month. Thresholds, unless one is given, are learned from out-of-fold scores of all
     development users, as published, fitted in the same passes."""
     if not steps:
         return rows.sparkSession.createDataFrame([], "protocol string, test_month int, accuracy double, balanced_acc double, macro_f1 double, weighted_f1 double, n long")
-    d = prepare(rows, names, month_splits())
+    d = prepare(with_arms(rows), names, month_splits())
     low = rows.agg(F.min(F.when(F.col("is_holdout") == 0, F.col("month_idx")))).first()[0]
-    step = lambda t, target, slot: Fit(f"step:{t}|{slot}", target, CLASSES[target], "month", frozenset(range(low, t + 1)), frozenset({t + 1}))
-    fits = [step(t, target, f"{target}_p") for t in steps for target in ("y", "renew", "move")]
-    inner = [] if tau is not None else [Fit(**{**f.__dict__, "name": f"{f.name}_p"}) for f in _two_stages("tau", "user_fold", cfg, range(cfg.n_folds), whole=False)]
-    scored = _named(_staged(_run(d, [*fits, *inner], ["y"])), "kind", "part")
-    if tau is None:
-        tau = M.best_tau(scored.where(F.col("kind") == "tau")).select("tau").scalar()
-    else:
-        tau = F.lit(tau)
+    fits = [Fit(f"step:{t}|{s}_p", s, CLASSES[s], "month", frozenset(range(low, t + 1)), frozenset({t + 1})) for t in steps for s in STAGES]
+    inner = [] if tau is not None else [f for s in STAGES[1:] for f in fold_fits("tau", s, "user_fold", cfg, range(cfg.n_folds), slot=f"{s}_p")]
+    scored = _named(_staged(_run(d, [*fits, *inner], ["y", "pre_secs"])), "kind", "part")
+    taus = {} if tau is not None else {r["protocol"]: r["tau"] for r in _arm_taus(scored.where(F.col("kind") == "tau"), cfg).collect()}
     stepped = scored.where(F.col("kind") == "step").withColumn("test_month", F.col("part").cast("int") + 1)
-    views = F.explode(F.array(
-        F.struct(F.lit("direct").alias("protocol"), argmax_index(F.col("y_p")).alias("p")),
-        F.struct(F.lit("two_stage").alias("protocol"), M.threshold_class(F.col("p_renew"), F.col("movement"), tau).alias("p"))))
-    return M.score_block(stepped.select("test_month", "y", views.alias("v")).select("test_month", "y", "v.*"), ["protocol", "test_month"])
+    ways = _all_ways(stepped, cfg, lambda p: F.lit(taus.get(p, 0.5 if tau is None else tau)))
+    return M.score_block(stepped.select("test_month", "y", ways.alias("v")).select("test_month", "y", "v.*"), ["protocol", "test_month"])
+
+
+def nested_runs(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, seeds: Sequence[int], strengths: Sequence[float],
+                folds: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """(seed, protocol, strengths, tau, scores): split, tune, refit and score for the direct classifier, the two-stage one
+    and both regression arms, each run by itself.
+
+    Every stage's strength is tuned on the run's development users by the run's own folds, classifiers by macro-F1 and arms by the
+    root mean squared error; thresholds come from out-of-fold scores of the tuned stages. Everything of all
+    seeds is fitted together, trials first, then folds and refits."""
+    d = prepare(with_arms(rows), names, seed_splits(seeds, cfg))
+    trials = [f for s in seeds for t in STAGES for i, c in enumerate(strengths) for f in fold_fits(f"{s}:{t}:{i}", t, f"run_{s}", cfg, folds, c=c)]
+    told = _named(_run(d, trials, STAGES), "seed", "stage", "trial", "fold")
+    truth = F.coalesce(*[F.when(F.col("stage") == t, F.col(t)) for t in STAGES])
+    told = told.withColumn("truth", truth).where(F.col("truth").isNotNull())
+    classified = told.where(~F.col("stage").startswith("t_")).withColumns({"y": F.col("truth").cast("int"), "p": argmax_index(F.col("probs"))})
+    keys = ["seed", "stage", "trial", "fold"]
+    block = M.score_block(classified, keys).select(*keys, F.col("macro_f1").alias("score"))
+    arms = M.rmse(told.where(F.col("stage").startswith("t_")).withColumn("value", F.get("probs", F.lit(0))), "truth", "value", keys)
+    table = block.unionByName(arms.select(*keys, (-F.col("rmse")).alias("score"))).groupBy("seed", "stage", "trial").agg(F.avg("score").alias("score"))
+    chosen: dict = {}
+    # Seeds x stages x trials rows; ties go to the first trial.
+    for r in sorted(table.collect(), key=lambda r: (-r["score"], int(r["trial"]))):
+        chosen.setdefault((int(r["seed"]), r["stage"]), float(strengths[int(r["trial"])]))
+    fits = [refit(str(s), t, f"run_{s}", cfg, slot=f"{t}_p", c=chosen[s, t]) for s in seeds for t in STAGES]
+    fits += [f for s in seeds for t in STAGES[1:] for f in fold_fits(str(s), t, f"run_{s}", cfg, range(cfg.n_folds), slot=f"{t}_p", c=chosen[s, t])]
+    scored = _named(_staged(_run(d, fits, ["y", "pre_secs"])), "seed", "fold")
+    taus = _arm_taus(scored.where(F.col("fold") != "all"), cfg, ["seed"]).groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("protocol", "tau"))).alias("taus"))
+    held = scored.where(F.col("fold") == "all").join(F.broadcast(taus), "seed")
+    ways = _all_ways(held, cfg, lambda p: F.col("taus")[p])
+    long = held.select("seed", "taus", "y", ways.alias("v")).select("seed", F.try_element_at("taus", F.col("v.protocol")).alias("tau"), "y", "v.*")
+    parts = {"direct": ("y",), "two_stage": ("renew", "move"), "regression_volume": ("renew", "t_volume"), "regression_ratio": ("renew", "t_ratio")}
+    picked = rows.sparkSession.createDataFrame([(str(s), p, *[chosen[s, t] for t in (ts + ts)[:2]]) for s in seeds for p, ts in parts.items()], "seed string, protocol string, c_first double, c_second double")
+    return M.score_block(long, ["seed", "protocol", "tau"]).join(F.broadcast(picked), ["seed", "protocol"])
 
 
 def cutoff_splits(cutoffs: Sequence[int], seed: int, cfg: StudyConfig) -> dict[str, Column]:
@@ -238,3 +305,27 @@ def best_trial(trials: DataFrame, params: Sequence[str], score: str = "macro_f1"
     """Parameters of the best trial, the first one on ties."""
     best = trials.orderBy(F.desc(score), "trial").first()
     return {k: best[k] for k in params}
+
+
+def boosted_cv(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, folds: Sequence[int] = (0, 1, 2), **params) -> tuple[DataFrame, dict[str, Forest]]:
+    """(model, scores over folds) of boosted trees with a softmax over the classes, all folds grown together, and the trees."""
+    b = binned(rows, numeric_columns(names), categorical_columns(names))
+    every = frozenset(range(cfg.n_folds))
+    forests = boost_together(b, [Boost(f"boosted:{k}", "y", 4, "user_fold", every - {k}, frozenset({k}), **params) for k in folds], len(numeric_columns(names)))
+    scored = boosted_scores(b, forests, ["y"]).withColumnRenamed("scores", "probs")
+    return fold_means(M.score_block(_named(_predicted(scored), "model", "fold"), ["model", "fold"]), ["model"]), forests
+
+
+def boosted_arms(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, folds: Sequence[int] = (0, 1, 2), **params) -> DataFrame:
+    """(arm, move_f1, move_f1_std, rmse) of both boosted regression arms over user-grouped folds of the renewers, all grown together."""
+    renewers = with_arms(rows).where(F.col("renewed") == 1)
+    b = binned(renewers, numeric_columns(names), categorical_columns(names))
+    every = frozenset(range(cfg.n_folds))
+    models = [Boost(f"{a}:{k}", f"t_{a}", 1, "user_fold", every - {k}, frozenset({k}), **params) for a in ARMS for k in folds]
+    forests = boost_together(b, models, len(numeric_columns(names)))
+    scored = _named(boosted_scores(b, forests, ["move", "pre_secs", "t_volume", "t_ratio"]), "arm", "fold").withColumn("prediction", F.get("scores", F.lit(0)))
+    scored = scored.withColumn("target", F.coalesce(*[F.when(F.col("arm") == a, F.col(f"t_{a}")) for a in ARMS]))
+    ratio = F.coalesce(*[F.when(F.col("arm") == a, M.ratio_from_prediction(F.col("prediction"), F.col("pre_secs"), a)) for a in ARMS])
+    pred = scored.where(F.col("move").isNotNull()).withColumns({"y": F.col("move").cast("int"), "p": M.ratio_to_movement(ratio, cfg)})
+    scores = M.score_block(pred, ["arm", "fold"]).join(M.rmse(pred, "target", "prediction", ["arm", "fold"]), ["arm", "fold"])
+    return scores.groupBy("arm").agg(F.avg("macro_f1").alias("move_f1"), F.stddev_pop("macro_f1").alias("move_f1_std"), F.avg("rmse").alias("rmse"))

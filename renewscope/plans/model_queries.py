@@ -38,6 +38,9 @@ SCORED, ALL_FOLDS = (0, 1, 2), tuple(range(ORDERS_STUDY.n_folds))
 TRIALS = 16
 #: Tuning and model comparison look at this many rows at most, class by class, as published.
 SUBSAMPLE = 200_000
+#: Published sizes: 300 rounds of 31 leaves at step 0.1 for the classes, 400 of 63 leaves at 0.05 for the arms.
+CLASS_TREES = {"rounds": 300, "depth": 5, "step": 0.1}
+ARM_TREES = {"rounds": 400, "depth": 6, "step": 0.05}
 STRENGTHS = (0.01, 0.1, 1.0, 10.0)
 
 
@@ -54,7 +57,8 @@ def model_comparison(inp):
     rows, names = _rows(inp)
     rows = through_table(_subsample(rows), "compared-rows")
     linear = P.cross_validated(P.prepare(rows, names), inp.cfg, {"logistic": {}}, SCORED)
-    return linear.unionByName(L.cross_validate(rows, {"forest": _forest(names)}, folds=SCORED))
+    trees = P.boosted_cv(rows, names, inp.cfg, SCORED, **CLASS_TREES)[0]
+    return linear.unionByName(trees).unionByName(L.cross_validate(rows, {"forest": _forest(names)}, folds=SCORED))
 
 
 @query("hyper_parameter_search", "trial c:f max_iter:i macro_f1:f macro_f1_std:f balanced_acc:f")
@@ -78,6 +82,12 @@ def two_stage_runs(inp):
     return P.two_stage_runs(rows, names, inp.cfg, RUN_SEEDS, ALL_FOLDS)
 
 
+@query("nested_protocol_runs", "seed:i protocol c_first:f c_second:f tau:f accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
+def nested_protocol_runs(inp):
+    rows, names = _rows(inp)
+    return P.nested_runs(rows, names, inp.cfg, RUN_SEEDS, STRENGTHS, SCORED)
+
+
 @query("renewal_stage_quality", "roc_auc:f average_precision:f macro_f1:f")
 def renewal_stage_quality(inp):
     rows, names = _rows(inp)
@@ -87,7 +97,7 @@ def renewal_stage_quality(inp):
 @query("regression_arms", "arm move_f1:f move_f1_std:f rmse:f")
 def regression_arms(inp):
     rows, names = _rows(inp)
-    return L.regression_cv(rows, names, inp.cfg, folds=SCORED)
+    return P.boosted_arms(rows, names, inp.cfg, SCORED, **ARM_TREES)
 
 
 @query("walk_forward_scores", "protocol test_month:i accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
