@@ -2,6 +2,8 @@
 Iterations, rounds, trees, depths and steps are the published ones, the operators' defaults.
 Fitting is not expressible in SQL, so these have no SQL twin."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from renewscope.config import ORDERS_STUDY, RUN_SEEDS
@@ -56,9 +58,13 @@ def _forest(names, target="y"):
 def model_comparison(inp):
     rows, names = _rows(inp)
     rows = through_table(_subsample(rows), "compared-rows")
-    linear = P.cross_validated(P.prepare(rows, names), inp.cfg, {"logistic": {}}, SCORED)
-    trees = P.boosted_cv(rows, names, inp.cfg, SCORED, **CLASS_TREES)[0]
-    return linear.unionByName(trees).unionByName(L.cross_validate(rows, {"forest": _forest(names)}, folds=SCORED))
+    families = (
+        lambda: P.cross_validated(P.prepare(rows, names), inp.cfg, {"logistic": {}}, SCORED),
+        lambda: P.boosted_cv(rows, names, inp.cfg, SCORED, **CLASS_TREES)[0],
+        lambda: L.cross_validate(rows, {"forest": _forest(names)}, folds=SCORED))
+    # Families don't wait for each other: while one plans its next pass, the others' tasks run.
+    with ThreadPoolExecutor(len(families)) as pool:
+        return L.union_all(list(pool.map(lambda family: family(), families)))
 
 
 @query("hyper_parameter_search", "trial c:f max_iter:i macro_f1:f macro_f1_std:f balanced_acc:f")
