@@ -24,6 +24,12 @@ def _opened(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly below a folder; none if it isn't there."""
+    where, system = _opened(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Removes a path with all that lies below it, if it is there."""
     where, system = _opened(spark, path)

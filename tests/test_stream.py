@@ -1,9 +1,11 @@
 """The streamed roll-up equals the batch aggregate, also for late files and replays."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from renewscope.config import StudyConfig
-from renewscope.streaming.rollup import batch_totals, consolidate, current_totals, start_rollup
+from renewscope.streaming import rollup
+from renewscope.streaming.rollup import Manifest, batch_totals, compact, consolidate, current_totals, start_rollup
 
 CFG = StudyConfig()
 SCHEMA = "msno string, date date, total_secs double"
@@ -42,3 +44,57 @@ def test_replayed_batch_counts_once(spark, tmp_path):
         stream = spark.readStream.schema(SCHEMA).parquet(logs)
         start_rollup(stream, target, f"{tmp_path}/{progress}", CFG).awaitTermination()
     assert [tuple(r)[2:] for r in current_totals(spark, target).collect()] == [(5_000_000, 1)]
+
+
+def totals(spark, day, secs):
+    return batch_totals(spark.createDataFrame([("a", day, secs), ("b", "2017-01-01", 1.0)], "msno string, day string, total_secs double").select("msno", F.col("day").cast("date").alias("date"), "total_secs"), CFG)
+
+
+def added_up(spark, target):
+    return {(r["msno"], str(r["date"])): (r["d_micros"], r["d_rows"]) for r in current_totals(spark, target).collect()}
+
+
+def test_levels_are_merged_and_stay_few(spark, tmp_path):
+    target, manifest = str(tmp_path), Manifest(spark, str(tmp_path))
+    for number in range(21):
+        rollup.add_batch(spark, target, number, totals(spark, f"2017-01-{number % 3 + 1:02d}", 2.0))
+        compact(spark, target, fan_out=3)
+        parts = manifest.parts()
+        assert all(sum(p[0] == level for p in parts) < 3 for level in range(4))
+    # 21 = 2 * 9 + 3: two parts of nine batches, one of three.
+    assert [(p[0], p[2] - p[1] + 1) for p in manifest.parts()] == [(1, 3), (2, 9), (2, 9)]
+    assert added_up(spark, target)["b", "2017-01-01"] == (21_000_000, 21)
+    assert len(current_totals(spark, target).inputFiles()) <= 3 * 4
+
+
+def test_replays_after_a_merge_count_once(spark, tmp_path):
+    target = str(tmp_path)
+    for number in range(3):
+        assert rollup.add_batch(spark, target, number, totals(spark, "2017-01-02", 2.0))
+    assert rollup.add_batch(spark, target, 2, totals(spark, "2017-01-02", 2.0))  # still its own part
+    before = added_up(spark, target)
+    assert compact(spark, target, fan_out=3) == 1 and added_up(spark, target) == before
+    assert not rollup.add_batch(spark, target, 1, totals(spark, "2017-01-02", 2.0)) and added_up(spark, target) == before
+
+
+@pytest.mark.parametrize("lost_at", ["commit", "remove_path"])
+def test_crash_between_merge_and_commit(spark, tmp_path, monkeypatch, lost_at):
+    target = str(tmp_path)
+    for number in range(3):
+        rollup.add_batch(spark, target, number, totals(spark, "2017-01-02", 2.0))
+    before = added_up(spark, target)
+
+    def lost(*args):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(*((Manifest, "commit") if lost_at == "commit" else (rollup, "remove_path")), lost)
+        with pytest.raises(RuntimeError):
+            compact(spark, target, fan_out=3)
+    assert added_up(spark, target) == before
+    compact(spark, target, fan_out=3)
+    assert added_up(spark, target) == before and [p[0] for p in Manifest(spark, target).parts()] == [1]
+
+
+def test_no_batches(spark, tmp_path):
+    assert current_totals(spark, str(tmp_path)).count() == 0 and compact(spark, str(tmp_path)) == 0
