@@ -2,7 +2,7 @@
 
 Every candidate's value is hashed and counted over the whole corpus: in how many
 repositories (documents) and of how many owners (sources) it occurs. A value that few
-documents of few owners hold looks like a live credential; one that is copied widely is an
+owners hold looks like a live credential; one that is copied widely is an
 example. The fixed patterns always give spans; other candidate tokens only when their
 value is owner-specific.
 """
@@ -22,8 +22,8 @@ KINDS = (("assign", ASSIGN, 12, 2), ("access", r"AKIA[A-Z0-9]+", 18, 0), ("hex",
 TOKEN, TOKEN_DISTINCT = r"[A-Za-z0-9_-]{20,}", 10
 OWNED = "owned"
 NAMES = [k[0] for k in KINDS] + [OWNED]
-#: A value is owner-specific if no more owners and documents than these hold it.
-MAX_OWNERS, MAX_REPOSITORIES = 2, 16
+#: A value is owner-specific if no more owners than these hold it, in however many documents.
+MAX_OWNERS = 2
 #: Matches of one text whose lengths are summed in one go.
 _STEP = 256
 _SALTS = 32
@@ -84,17 +84,16 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source",
-         max_owners: int = MAX_OWNERS, max_repositories: int | None = MAX_REPOSITORIES) -> DataFrame:
+         max_owners: int = MAX_OWNERS) -> DataFrame:
     """repo, owner, spans, live of every row; `live` has the hashes of the row's values that are owner-specific.
 
     Null and empty texts have no spans; a null id or source counts as one of its own; rows that
     are repeated count once as a repository and each keep their spans; other columns are not
-    looked at. Without `max_repositories` owners alone decide. A value that a third of all rows hold is counted by partial sums, and its rows
+    looked at. Owners alone decide, as one owner may use its own credential in any number of documents. A value that a third of all rows hold is counted by partial sums, and its rows
     are salted before they meet the values that are owner-specific.
     """
     found = find_candidates(docs, text, key, owner)
     few = ownership(found).where(F.col("owners") <= max_owners)
-    few = few if max_repositories is None else few.where(F.col("repositories") <= max_repositories)
     few = few.select(F.col("hash").alias("few"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("few_salt"))
     salt = F.pmod(F.xxhash64("repo", "owner"), F.lit(_SALTS)).cast("int")
     held = found.where(F.size("spans") > 0)
@@ -134,11 +133,10 @@ def _hidden(text: Column, pattern: str, group: int, secret) -> Column:
     return F.when(text.rlike(pattern), F.array_join(F.transform(each, lambda x: F.concat(x["gap"], kept(x))), "")).otherwise(text)
 
 
-def masked_documents(docs: DataFrame, text: str = "text", max_owners: int = MAX_OWNERS, max_repositories: int | None = None) -> DataFrame:
+def masked_documents(docs: DataFrame, text: str = "text", max_owners: int = MAX_OWNERS) -> DataFrame:
     """The documents with every secret replaced by a mark; no row is dropped.
 
-    A value of few owners is owner-specific in however many documents they use it, unless
-    `max_repositories` bounds them.
+    A value of few owners is owner-specific in however many documents they use it.
 
     Values of assignments go first: a token that meets one lies inside it. Then whole tokens
     that are owner-specific: fixed kinds that meet one of these lie inside it as well. Access keys
@@ -154,7 +152,7 @@ def masked_documents(docs: DataFrame, text: str = "text", max_owners: int = MAX_
     masked = masked.withColumn(text, F.regexp_replace(body, f"({assign})[A-Za-z0-9+/_.=-]{{{least},}}", f"$1{MASK}"))
     tokens = F.filter(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), _looks_live)
     suspect = F.coalesce(body.rlike(TOKEN), F.lit(False)) & F.coalesce(F.size(tokens) > 0, F.lit(False))
-    found = scan(docs, text, max_owners=max_owners, max_repositories=max_repositories).where(F.size("live") > 0).select(F.col("repo").alias(row), F.col("owner").alias(o), F.col("live").alias(live))
+    found = scan(docs, text, max_owners=max_owners).where(F.size("live") > 0).select(F.col("repo").alias(row), F.col("owner").alias(o), F.col("live").alias(live))
     found = found.dropDuplicates([row, o])
     some = masked.where(suspect).join(found, F.col("doc_id").eqNullSafe(F.col(row)) & F.col("source").eqNullSafe(F.col(o)), "left")
     owned = lambda token: _looks_live(token) & F.array_contains(F.col(live), F.sha2(token, 256))

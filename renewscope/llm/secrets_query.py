@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from renewscope.llm.common import table
-from renewscope.llm.secrets import ASSIGN, MAX_OWNERS, MAX_REPOSITORIES, TOKEN, TOKEN_DISTINCT, base_spans, reported_spans, scan, shown
+from renewscope.llm.secrets import ASSIGN, MAX_OWNERS, TOKEN, TOKEN_DISTINCT, base_spans, reported_spans, scan, shown
 
 
 def op10_secret_scan(spark, sf_dir):
@@ -45,7 +45,7 @@ WITH docs AS (
 ), held AS (
   SELECT DISTINCT part, coalesce(source, chr(1)) AS owner, coalesce(doc_id::VARCHAR, chr(1)) AS repo FROM spans JOIN docs USING (row)
 ), live AS (
-  SELECT part FROM held GROUP BY part HAVING count(DISTINCT owner) <= {MAX_OWNERS} AND count(*) <= {MAX_REPOSITORIES}
+  SELECT part FROM held GROUP BY part HAVING count(DISTINCT owner) <= {MAX_OWNERS}
 ), told AS (
   SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
     count(*) FILTER (kind < 3 AND live.part IS NOT NULL) AS n_base_live,

@@ -98,6 +98,15 @@ def test_a_secret_of_one_owner_is_masked_in_all_its_documents(spark):
     assert {r["doc_id"]: r["text"] for r in masked} == {i: t.replace(mine, "<SECRET>") for i, t, _ in rows}
 
 
+def test_owner_decides_in_however_many_documents(spark):
+    mine, shared = "ghp_Ab12Cd34Ef56Gh78Ij90Kl", "ghp_Zz99Yy88Xx77Ww66Vv55Uu"
+    for n in (17, 1000):
+        rows = [(i, f"use {mine} and {shared}", "one") for i in range(n)] + [(n + i, f"see {shared}", f"s{i}") for i in range(2)]
+        found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        spans = {r["repo"]: r["spans"] for r in found.select("repo", secrets.shown(secrets.reported_spans(F.col("spans"), F.col("live"))).alias("spans")).collect()}
+        assert spans == {i: "owned:4:30" if s == "one" else "" for i, _, s in rows}
+
+
 def test_odd_rows(odd_docs, no_docs):
     found = secrets.scan(odd_docs)
     assert collections.Counter(r["repo"] for r in found.collect()) == collections.Counter(r["doc_id"] for r in odd_docs.select("doc_id").collect())
