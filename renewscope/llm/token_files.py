@@ -119,7 +119,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, text: str = "text
 def read_shards(spark: SparkSession, folder: str, listed: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, file of every document, from the files and their list.
 
-    Spark reads the files; only one row a file is put in order in one place."""
+    Spark reads the files; only one row a file is put in order in one place. A list without files, as
+    an empty table gives, has no rows."""
+    if not listed.take(1):
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
     order = Window.orderBy("range", "number").rowsBetween(Window.unboundedPreceding, -1)
     starts = listed.select("file", F.coalesce(F.sum("ids").over(order), F.lit(0)).cast("long").alias("before"))
 

@@ -101,7 +101,8 @@ def test_files_of_odd_rows(spark, odd_docs, no_docs, encode):
     assert in_order == sorted(in_order, key=lambda d: -1 if d is None else d)
     want = Counter(zlib.crc32(np.array(encode(r["text"]), "<u4").tobytes()) for r in odd_docs.collect())
     assert Counter(r["ids_crc32"] for r in rows) == want
-    assert token_files.write_shards(no_docs, shared_dir(spark, "files"), PATH).count() == 0
+    nothing = token_files.write_shards(no_docs, shared_dir(spark, "files"), PATH)
+    assert nothing.count() == 0 and token_files.read_shards(spark, shared_dir(spark, "files"), nothing).count() == 0
 
 
 def check_pieces(rows, window=1024):
