@@ -18,6 +18,8 @@ from renewscope.session import through_table
 
 #: Ids of a shard file, about: it closes with the document that reaches them.
 SHARD_IDS = 1 << 21
+#: Different parts of texts whose ids a worker keeps, at about 120 bytes each: here a worker does nothing else that needs memory.
+CACHE = 1_000_000
 #: Documents that one range of the order holds, about.
 RANGE_DOCS = 8192
 
@@ -26,11 +28,11 @@ def _tokenized(docs: DataFrame, tokenizer: str, text: str, key: str, end_id: int
     """doc_id, tie, ids (binary) of every document; tie is the md5 of its text."""
 
     def run(batches):
-        dtype = encoder(tokenizer, True).dtype
+        encode = encoder(tokenizer, True, CACHE)
         for batch in batches:
             rows, blobs, size = [], [], 0
-            for row, ids in documents(batch.column(2), tokenizer, end_id, True):
-                rows.append(row), blobs.append(ids.astype(dtype).tobytes())
+            for row, ids in documents(batch.column(2), tokenizer, end_id, True, encode):
+                rows.append(row), blobs.append(ids.tobytes())
                 size += len(blobs[-1])
                 if size > 1 << 23 or row == batch.num_rows - 1:
                     at = pa.array(rows, pa.int64())
@@ -90,7 +92,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, text: str = "text
     ordered = numbered.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def write(batches):
-        dtype = encoder(tokenizer, True).dtype
+        dtype = encoder(tokenizer, True, CACHE).dtype
         listed, held, docs_in, size, place = [], [], [], 0, None
 
         def close():

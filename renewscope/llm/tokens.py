@@ -231,14 +231,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, added: bool = False) -> Encoder:
-    """One for each worker process and file."""
-    return Encoder(path, added=added)
+def encoder(path: str, added: bool = False, cache: int = CACHE) -> Encoder:
+    """One for each worker process, file and bound of the cache."""
+    return Encoder(path, cache, added)
 
 
-def documents(texts: pa.Array, path: str, end_id: int = END_ID, added: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+def documents(texts: pa.Array, path: str, end_id: int = END_ID, added: bool = False, encode: Encoder | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids with the end id) of every text, in order; with `added`, literals of added tokens are their ids."""
-    encode = encoder(path, True) if added else encoder(path)
+    encode = encode or (encoder(path, True) if added else encoder(path))
     end = np.array([end_id], encode.dtype)
     held: list[np.ndarray] = []
     for row, ids, sizes, last in encode.encode(texts):

@@ -24,9 +24,9 @@ BLOCK = 1 << 16
 def build(ids: np.ndarray, bits: int, meta: dict | None = None) -> bytes:
     """The file of ids below 2 ** bits; `meta` goes into its header."""
     planes, parts, at = [], [], 0
-    left = np.ascontiguousarray(ids, np.uint32)
+    left = np.ascontiguousarray(ids, np.uint16 if bits <= 16 else np.uint32)
     for bit in range(bits - 1, -1, -1):
-        ones = ((left >> np.uint32(bit)) & np.uint32(1)).astype(bool)
+        ones = (left & left.dtype.type(1 << bit)) != 0
         blocks, before = [], 0
         for k in range(0, len(ones), BLOCK):
             part = ones[k : k + BLOCK]
@@ -36,7 +36,7 @@ def build(ids: np.ndarray, bits: int, meta: dict | None = None) -> bytes:
             parts.append(small if packed else raw)
             blocks.append((at, len(parts[-1]), int(packed), before))
             at += len(parts[-1])
-            before += int(part.sum())
+            before += int(np.count_nonzero(part))
         planes.append({"zeros": int(len(ones) - before), "blocks": blocks})
         left = np.concatenate((left[~ones], left[ones]))
     header = json.dumps({"n": len(ids), "bits": bits, "block": BLOCK, "planes": planes, "meta": meta or {}}, separators=(",", ":")).encode()
@@ -138,11 +138,11 @@ class WaveletMatrix:
     def decode(self) -> np.ndarray:
         """All ids: planes are undone from the lowest bit to the highest."""
         bits = [np.concatenate([self._bits(p, b) for b in range(len(self.planes[p]["blocks"]))]) if self.n else np.zeros(0, np.uint8) for p in range(self.bits)]
-        ids = np.zeros(self.n, np.uint32)
+        ids = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for plane in range(self.bits - 1, -1, -1):
-            ones = bits[plane].astype(bool)
-            back = np.empty(self.n, np.uint32)
+            ones = bits[plane].view(bool)
+            back = np.empty_like(ids)
             zeros = self.planes[plane]["zeros"]
-            back[~ones], back[ones] = ids[:zeros], ids[zeros:]
-            ids = back | ones.astype(np.uint32) << np.uint32(self.bits - 1 - plane)
+            back[~ones], back[ones] = ids[:zeros], ids[zeros:] | ids.dtype.type(1 << self.bits - 1 - plane)
+            ids = back
         return ids
