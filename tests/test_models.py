@@ -64,6 +64,7 @@ def test_queries_fit_the_published_sizes(spark, monkeypatch):
     assert (forest.getNumTrees(), forest.getMaxDepth()) == (200, 12)
     given = {}
     monkeypatch.setattr(Q, "_rows", lambda inp: (None, NAMES))
-    monkeypatch.setattr(Q.L, "regression_cv", lambda *a, **b: given.update(b))
+    monkeypatch.setattr(Q.P, "boosted_arms", lambda *a, **b: given.update(b, folds=a[3]))
     getattr(Q.regression_arms, "__wrapped__", Q.regression_arms)(type("I", (), {"cfg": CFG}))
-    assert set(given) == {"folds"}
+    assert given == {"rounds": 400, "depth": 6, "step": 0.05, "folds": (0, 1, 2)}
+    assert Q.CLASS_TREES == {"rounds": 300, "depth": 5, "step": 0.1}
