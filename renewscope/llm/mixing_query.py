@@ -31,11 +31,24 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, CASE WHEN room <= held THEN 3.0::DOUBLE * source_size ELSE held * w END AS target
   FROM levels CROSS JOIN held
+), classes AS (
+  SELECT source, len(bin(size))::BIGINT AS odds, sum(size)::BIGINT AS words FROM sized GROUP BY ALL
+), remain AS (
+  SELECT c.source, c.odds, t.target, coalesce(sum(words) OVER b, 0) AS before,
+    sum(odds * words) OVER (PARTITION BY c.source) - coalesce(sum(odds * words) OVER b, 0) AS remaining,
+    sum(odds * words) OVER (PARTITION BY c.source) AS every
+  FROM classes c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source
+  WINDOW b AS (PARTITION BY c.source ORDER BY odds DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), tried AS (
+  SELECT *, CASE WHEN remaining > 0 THEN (target - 3.0::DOUBLE * before::DOUBLE) / remaining::DOUBLE END AS c FROM remain
+), constants AS (
+  SELECT source, CASE WHEN max(every) > 0 THEN coalesce(arg_max(c, odds) FILTER (WHERE c * odds <= 3.0::DOUBLE), 'inf'::DOUBLE) ELSE 0.0::DOUBLE END AS c
+  FROM tried GROUP BY source
 ), ratios AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN least(3.0::DOUBLE, t.target * 1.0::DOUBLE / t.source_size::DOUBLE) ELSE 0.0::DOUBLE END AS ratio,
+    least(3.0::DOUBLE, c.c * len(bin(d.size))::DOUBLE) AS ratio,
     (('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source JOIN constants c ON d.source IS NOT DISTINCT FROM c.source
 ), odds AS (
   SELECT *, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS pi FROM ratios
 ), ranked AS (

@@ -28,6 +28,34 @@ def test_odd_rows_equal_sql(spark, odd_docs):
     same(mix, mixing_query.SQL, documents=odd_docs.select("doc_id", "text", "source"))
 
 
+def test_repeated_rows_at_the_cut_are_taken_one_by_one(spark):
+    """Three ids of 60 copies each, parts of the table small: no source may pass its target by a group of copies."""
+    docs = spark.range(1200, numPartitions=7).select(
+        F.when(F.col("id") < 180, F.col("id") % 3).when(F.col("id") < 400, F.lit(None)).otherwise(F.col("id") % 90).alias("doc_id"),
+        F.expr("repeat('w ', cast(5 + id % 3 as int))").alias("text"),
+        F.when(F.col("id") < 180, "copies").when(F.col("id") < 400, "nulls").when(F.col("id") % 2 == 0, "rest").alias("source"))
+    mix = mixing.pareto_mix(docs)
+    same(mix.select("doc_id", "size", "source_size", "target", "taken", "copies"), mixing_query.SQL, documents=docs)
+    per = mix.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
+    assert len(per) == 4 and all(abs(r["taken"] - r["target"]) <= r["most"] / 2 + 1e-9 for r in per)
+
+
+def test_constant_of_a_source_with_capped_weights(spark):
+    # Weights 8 and 1, 100 words each, target 500: 3 * 100 words of the first, the second twice
+    sized = spark.createDataFrame([("a", 8, 100), ("a", 1, 60), ("a", 1, 40), ("b", 2, 0)], "source string, odds long, size long")
+    targets = spark.createDataFrame([("a", 200, 500.0), ("b", 0, 0.0)], "source string, source_size long, target double")
+    assert {r["source"]: r["constant"] for r in mixing.constants(sized, targets).collect()} == {"a": 2.0, "b": 0.0}
+    full = targets.withColumn("target", F.lit(700.0))
+    assert {r["source"]: r["constant"] for r in mixing.constants(sized, full).collect()}["a"] == float("inf")
+
+
+def test_longer_documents_are_likelier(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', if(id % 2 = 0, 40, 5))").alias("text"), (F.col("id") % 4 < 2).cast("string").alias("source"))
+    got = {(r[0], r[1]): r[2] for r in mixing.pareto_mix(docs).groupBy("source", "size").agg(F.avg("copies")).collect()}
+    for source in ("true", "false"):  # six binary digits against three
+        assert got[source, 40] == pytest.approx(2 * got[source, 5], rel=0.1)
+
+
 def test_targets_stop_at_the_cap(spark):
     rows = [("a", 10), ("b", 1000), ("c", 30), (None, 5)]
     got = {r["source"]: r for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size int")).collect()}
