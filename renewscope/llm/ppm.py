@@ -14,15 +14,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from renewscope.llm.common import blocks, bounded_rows, utf8
 from renewscope.llm.hashtable import FrozenMap
+from renewscope.session import through_table
 
 ORDER = 4
-#: What a language learns from: about so many bytes, in hash order; and windows that a model holds at most.
+#: What a language learns from: about so many bytes, in hash order; and windows that a model holds at most, an equal share a language.
 TRAIN_BYTES, MAX_WINDOWS = 1_500_000, 1_000_000
+#: Windows of up to so many bytes are counted exactly, whatever the share: 256 ** SHORT a language at most.
+SHORT = 2
 #: Stands before a text; no UTF-8 text has it.
 START = 0xFF
 _BLOCK = 1 << 19
@@ -76,18 +79,21 @@ def count_windows(docs: DataFrame, text: str = "text", label: str = "lang") -> D
 
 
 class Model:
-    """Frozen trees of all languages, as costs in bits of every window that any of them has seen."""
+    """Frozen trees of all languages, as costs in bits of every window that any of them has seen.
 
-    def __init__(self, labels: list[str], which: np.ndarray, windows: np.ndarray, counts: np.ndarray):
+    `whole` marks windows that count at all lengths; the others count only for their last SHORT bytes."""
+
+    def __init__(self, labels: list[str], which: np.ndarray, windows: np.ndarray, counts: np.ndarray, whole: np.ndarray):
         self.labels = labels
         self.maps: list[FrozenMap] = []  # by length of the window
         self.escapes: list[FrozenMap | None] = []  # by length of the context
         shorter = np.full((1, len(labels)), 8.0, np.float32)  # any byte, below the empty context
         for length in range(1, ORDER + 2):
-            kept = windows & np.uint64((1 << 8 * length) - 1)
+            here = whole | (length <= SHORT)
+            kept = windows[here] & np.uint64((1 << 8 * length) - 1)
             keys, at = np.unique(kept, return_inverse=True)
             n = np.zeros((len(keys), len(labels)))
-            np.add.at(n, (at, which), counts)
+            np.add.at(n, (at, which[here]), counts[here])
             contexts, of = np.unique(keys >> np.uint64(8), return_inverse=True)
             total, distinct = np.zeros((len(contexts), len(labels))), np.zeros((len(contexts), len(labels)))
             np.add.at(total, of, n)
@@ -130,21 +136,31 @@ class Model:
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",
           train_bytes: int = TRAIN_BYTES, max_windows: int = MAX_WINDOWS) -> Model:
     """Trees from rows with text and label: about `train_bytes` bytes a label in hash order of the key, in
-    Spark; of the counted windows the `max_windows` most frequent ones come to the driver."""
+    Spark. Each label has an equal share of `max_windows`, one window at least, and its most frequent windows (ties to the
+    smaller one) come to the driver; of the others only the sums by their last SHORT bytes do.
+
+    Rows without text or label are left out; rows that are repeated, or have a null key, count each time;
+    an empty table gives a model without languages. Other columns are not looked at."""
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
     sample = bounded_rows(known, F.col("k"), F.col("label"), F.octet_length("text"), train_bytes)
-    top = count_windows(sample, "text", "label").orderBy(F.desc("n"), "label", "window").limit(max_windows).toPandas()
-    labels = sorted(top["label"].unique())
+    counted = through_table(count_windows(sample, "text", "label"), "windows")
+    labels = sorted(r[0] for r in counted.select("label").distinct().collect())
+    share = max(1, max_windows // max(1, len(labels)))
+    # A label's windows are bounded by its training bytes.
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "window"))
+    ranked = counted.withColumn("whole", place <= share)
+    window = F.when(F.col("whole"), F.col("window")).otherwise(F.col("window").bitwiseAND(F.lit((1 << 8 * SHORT) - 1)))
+    top = ranked.groupBy("label", "whole", window.alias("window")).agg(F.sum("n").alias("n")).toPandas()
     which = np.searchsorted(labels, top["label"]) if labels else np.zeros(0, int)
-    return Model(labels, which, top["window"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64))
+    return Model(labels, which, top["window"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64), top["whole"].to_numpy(bool))
 
 
 def language(spark, model: Model, text: Column) -> Column:
     """struct(lang_pred, score): the cheapest language and its share of 2 ** -bits over all languages.
 
     Null texts, texts without a letter, and models without a language give und and 0; ties go to
-    the first language by code point."""
-    shared = spark.sparkContext.broadcast(model)  # at most max_windows rows a length of window
+    the first language by code point. Each row is looked at by itself, so repeated rows get equal results."""
+    shared = spark.sparkContext.broadcast(model)  # at most max_windows rows a length of window, and 256 ** SHORT more a label
     labels = model.labels
 
     @F.arrow_udf("lang_pred string, score double")

@@ -68,3 +68,23 @@ def test_bounded_model_keeps_the_most_frequent_windows(spark, odd_docs):
     model = ppm.train(odd_docs, max_windows=50)
     assert len(model.maps[-1].values) <= 50
     assert np.isfinite(model.code_lengths(pa.array(["abc", "delta0 rho3"]))).all()
+
+
+def test_a_small_language_keeps_its_share(spark):
+    """A language of one per cent of the text, with more windows in all than the bound: it keeps its own, and short contexts stay exact."""
+    rng = np.random.default_rng(3)
+    words = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    rows = [(i, words("abcdefgh", 200), "large") for i in range(99)] + [(99, words("rstuvwxy", 200), "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    every = {r["label"]: r["w"] for r in ppm.count_windows(docs).groupBy("label").agg(F.count("*").alias("w")).collect()}
+    bound = 400
+    assert every["small"] > bound / 2 and every["large"] > bound
+    model, full = ppm.train(docs, max_windows=bound), ppm.train(docs)
+    assert model.labels == full.labels == ["large", "small"]
+    probe = pa.array([words("rstuvwxy", 5), words("abcdefgh", 5)])
+    assert model.code_lengths(probe).argmin(axis=1).tolist() == [1, 0]
+    for length in range(1, ppm.SHORT + 1):
+        windows = np.unique(np.frombuffer("rstu vabc xyz".encode(), np.uint8).astype(np.uint64) * np.uint64(256 if length > 1 else 1) + np.uint64(ord("a") if length > 1 else 0))
+        assert np.array_equal(model.costs(windows, length), full.costs(windows, length))
+    longest = model.costs(np.zeros(0, np.uint64)).shape
+    assert longest == (0, 2) and 0 < len(model.maps[-1].values) <= bound
