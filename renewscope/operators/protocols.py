@@ -6,7 +6,7 @@ all of them advance in shared passes, and scores every row under the fits of its
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from renewscope.config import StudyConfig
 from renewscope.functions.scalar import argmax_index
 from renewscope.operators import metrics as M
 from renewscope.operators.features import categorical_columns, numeric_columns
-from renewscope.operators.boosting import Boost, Forest, binned, boost_together, boosted_scores
+from renewscope.operators.boosting import Binned, Boost, Forest, binned, boost_together, boosted_scores, gain_table
 from renewscope.operators.fits import Design, Fit, Fitted, design, fit_together, score_routed, solve_together
 from renewscope.operators.models import draw_configs, regression_target
 from renewscope.operators.splits import run_columns
@@ -287,18 +287,22 @@ def two_stage_decay(at_cutoffs: DataFrame, names: Sequence[str], cutoffs: Sequen
     return M.score_block(long, ["cutoff_days", "part"]).groupBy("cutoff_days").pivot("part", ["derived", "stage1", "stage2"]).agg(F.first("macro_f1"))
 
 
-def random_search(d: Design, cfg: StudyConfig, grid: dict[str, Sequence], n: int, seed: int, ledger: TrialLedger, folds: Sequence[int] = (0, 1, 2),
-                  at_once: int = 8) -> DataFrame:
-    """The trial table of `n` draws from a grid of fit parameters. `at_once` trials are fitted together and then committed one by
-    one, so that a search that was lost goes on behind the last committed trial."""
-    configs = draw_configs(grid, n, seed)
-    missing = ledger.missing(n)
+def searched(score: Callable[[dict[str, dict]], DataFrame], configs: Sequence[dict], ledger: TrialLedger, at_once: int = 8) -> DataFrame:
+    """The trial table of all configurations. `score` gives (model, scores) of those it is handed by name; `at_once` of
+    them are fitted together and then committed one by one, so that a search that was lost goes on behind the last committed trial."""
+    missing = ledger.missing(len(configs))
     for part in (missing[i : i + at_once] for i in range(0, len(missing), at_once)):
-        scored = {r["model"]: r for r in cross_validated(d, cfg, {f"{i:04d}": configs[i] for i in part}, folds).collect()}
+        scored = {r["model"]: r.asDict() for r in score({f"{i:04d}": configs[i] for i in part}).collect()}
         for i in part:
-            r = scored[f"{i:04d}"]
-            ledger.commit(i, {"trial": f"{i:04d}", **configs[i], **{k: r[k] for k in ("macro_f1", "macro_f1_std", "balanced_acc")}})
-    return ledger.records(n)
+            found = scored[f"{i:04d}"]
+            ledger.commit(i, {"trial": found.pop("model"), **configs[i], **found})
+    return ledger.records(len(configs))
+
+
+def random_search(d: Design, cfg: StudyConfig, grid: dict[str, Sequence], n: int, seed: int, ledger: TrialLedger, folds: Sequence[int] = (0, 1, 2),
+                  at_once: int = 8) -> DataFrame:
+    """The trial table of `n` draws from a grid of the logistic model's parameters."""
+    return searched(lambda models: cross_validated(d, cfg, models, folds), draw_configs(grid, n, seed), ledger, at_once)
 
 
 def best_trial(trials: DataFrame, params: Sequence[str], score: str = "macro_f1") -> dict:
@@ -307,25 +311,73 @@ def best_trial(trials: DataFrame, params: Sequence[str], score: str = "macro_f1"
     return {k: best[k] for k in params}
 
 
-def boosted_cv(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, folds: Sequence[int] = (0, 1, 2), **params) -> tuple[DataFrame, dict[str, Forest]]:
-    """(model, scores over folds) of boosted trees with a softmax over the classes, all folds grown together, and the trees."""
-    b = binned(rows, numeric_columns(names), categorical_columns(names))
+def _bins(rows: DataFrame, names: Sequence[str]) -> tuple[Binned, int]:
+    return binned(rows, numeric_columns(names), categorical_columns(names)), len(numeric_columns(names))
+
+
+def _boosts(name: str, target: str, cfg: StudyConfig, folds: Sequence[int], **params) -> list[Boost]:
+    """One boosted model a fold, learned from all other folds and scoring its own: `name:fold`."""
     every = frozenset(range(cfg.n_folds))
-    forests = boost_together(b, [Boost(f"boosted:{k}", "y", 4, "user_fold", every - {k}, frozenset({k}), **params) for k in folds], len(numeric_columns(names)))
-    scored = boosted_scores(b, forests, ["y"]).withColumnRenamed("scores", "probs")
-    return fold_means(M.score_block(_named(_predicted(scored), "model", "fold"), ["model", "fold"]), ["model"]), forests
+    return [Boost(f"{name}:{k}", target, CLASSES[target], "user_fold", every - {k}, frozenset({k}), **params) for k in folds]
+
+
+def boosted_trials(b: Binned, ordered: int, cfg: StudyConfig, models: dict[str, dict], folds: Sequence[int] = (0, 1, 2), target: str = "y") -> tuple[DataFrame, dict[str, Forest]]:
+    """(model, scores over folds) of boosted classifiers given by their parameters, all folds of all models grown together, and the trees."""
+    forests = boost_together(b, [f for name, params in models.items() for f in _boosts(name, target, cfg, folds, **params)], ordered, mixed=True)
+    scored = boosted_scores(b, forests, [target]).withColumnRenamed("scores", "probs")
+    return fold_means(M.score_block(_named(_predicted(scored, target), "model", "fold"), ["model", "fold"]), ["model"]), forests
+
+
+def boosted_cv(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, folds: Sequence[int] = (0, 1, 2), **params) -> tuple[DataFrame, dict[str, Forest]]:
+    """(model, scores over folds) of boosted trees with a softmax over the classes, and the trees."""
+    return boosted_trials(*_bins(rows, names), cfg, {"boosted": params}, folds)
+
+
+def arm_trials(b: Binned, ordered: int, cfg: StudyConfig, models: dict[str, dict], arms: Sequence[str] = ARMS, folds: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """(model, arm, move_f1, move_f1_std, rmse) of boosted regression arms given by their parameters, over user-grouped folds of
+    the renewers, all grown together. `b` has the rows of `arm_rows`."""
+    grown = [f for name, params in models.items() for a in arms for f in _boosts(f"{name}:{a}", f"t_{a}", cfg, folds, **params)]
+    forests = boost_together(b, grown, ordered, mixed=True)
+    scored = _named(boosted_scores(b, forests, ["move", "pre_secs", "t_volume", "t_ratio"]), "model", "arm", "fold").withColumn("prediction", F.get("scores", F.lit(0)))
+    scored = scored.withColumn("target", F.coalesce(*[F.when(F.col("arm") == a, F.col(f"t_{a}")) for a in arms]))
+    ratio = F.coalesce(*[F.when(F.col("arm") == a, M.ratio_from_prediction(F.col("prediction"), F.col("pre_secs"), a)) for a in arms])
+    pred = scored.where(F.col("move").isNotNull()).withColumns({"y": F.col("move").cast("int"), "p": M.ratio_to_movement(ratio, cfg)})
+    keys = ["model", "arm", "fold"]
+    scores = M.score_block(pred, keys).join(M.rmse(pred, "target", "prediction", keys), keys)
+    return scores.groupBy("model", "arm").agg(F.avg("macro_f1").alias("move_f1"), F.stddev_pop("macro_f1").alias("move_f1_std"), F.avg("rmse").alias("rmse"))
+
+
+def arm_rows(rows: DataFrame) -> DataFrame:
+    """Renewers with what the arms predict."""
+    return with_arms(rows).where(F.col("renewed") == 1)
 
 
 def boosted_arms(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, folds: Sequence[int] = (0, 1, 2), **params) -> DataFrame:
-    """(arm, move_f1, move_f1_std, rmse) of both boosted regression arms over user-grouped folds of the renewers, all grown together."""
-    renewers = with_arms(rows).where(F.col("renewed") == 1)
-    b = binned(renewers, numeric_columns(names), categorical_columns(names))
+    """(arm, move_f1, move_f1_std, rmse) of both boosted regression arms."""
+    return arm_trials(*_bins(arm_rows(rows), names), cfg, {"boosted": params}, ARMS, folds).drop("model")
+
+
+def boosted_search(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, grid: dict[str, Sequence], n: int, seed: int, ledger: TrialLedger,
+                   folds: Sequence[int] = (0, 1, 2), target: str = "y", at_once: int = 8) -> DataFrame:
+    """The trial table of `n` draws from a grid of tree parameters, for the direct classifier (`y`) or a stage (`renew`, `move`).
+
+    Bins are made once; folds of `at_once` trials grow together, whatever their depth and rounds."""
+    b, ordered = _bins(rows, names)
+    return searched(lambda models: boosted_trials(b, ordered, cfg, models, folds, target)[0], draw_configs(grid, n, seed), ledger, at_once)
+
+
+def arm_search(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, arm: str, grid: dict[str, Sequence], n: int, seed: int, ledger: TrialLedger,
+               folds: Sequence[int] = (0, 1, 2), at_once: int = 8) -> DataFrame:
+    """The trial table of `n` draws from a grid of tree parameters for one regression arm."""
+    b, ordered = _bins(arm_rows(rows), names)
+    return searched(lambda models: arm_trials(b, ordered, cfg, models, [arm], folds).drop("arm"), draw_configs(grid, n, seed), ledger, at_once)
+
+
+def boosted_importance(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, seeds: Sequence[int], **params) -> DataFrame:
+    """(run, feature, gain): the mean gain of a feature's splits in the boosted classifier of each run, which learns from the run's
+    development users; 0 for features without a split. All runs grow together over one set of bins."""
+    b, ordered = _bins(rows.withColumns(seed_splits(seeds, cfg)), names)
     every = frozenset(range(cfg.n_folds))
-    models = [Boost(f"{a}:{k}", f"t_{a}", 1, "user_fold", every - {k}, frozenset({k}), **params) for a in ARMS for k in folds]
-    forests = boost_together(b, models, len(numeric_columns(names)))
-    scored = _named(boosted_scores(b, forests, ["move", "pre_secs", "t_volume", "t_ratio"]), "arm", "fold").withColumn("prediction", F.get("scores", F.lit(0)))
-    scored = scored.withColumn("target", F.coalesce(*[F.when(F.col("arm") == a, F.col(f"t_{a}")) for a in ARMS]))
-    ratio = F.coalesce(*[F.when(F.col("arm") == a, M.ratio_from_prediction(F.col("prediction"), F.col("pre_secs"), a)) for a in ARMS])
-    pred = scored.where(F.col("move").isNotNull()).withColumns({"y": F.col("move").cast("int"), "p": M.ratio_to_movement(ratio, cfg)})
-    scores = M.score_block(pred, ["arm", "fold"]).join(M.rmse(pred, "target", "prediction", ["arm", "fold"]), ["arm", "fold"])
-    return scores.groupBy("arm").agg(F.avg("macro_f1").alias("move_f1"), F.stddev_pop("macro_f1").alias("move_f1_std"), F.avg("rmse").alias("rmse"))
+    forests = boost_together(b, [Boost(str(s), "y", CLASSES["y"], f"run_{s}", every, frozenset({HELD}), **params) for s in seeds], ordered)
+    mean = F.when(F.col("splits") > 0, F.col("gain") / F.col("splits")).otherwise(0.0)
+    return gain_table(rows.sparkSession, forests, b.names).select(F.col("fit").cast("int").alias("run"), "feature", mean.alias("gain"))

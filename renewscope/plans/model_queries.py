@@ -141,8 +141,7 @@ def single_feature_recovery(inp):
 @query("fitted_importance_robustness", "feature mean_share:f sd_share:f se_share:f median_share:f mean_rank:f top5_count:i top10_count:i n_runs:i")
 def fitted_importance_robustness(inp):
     rows, names = _rows(inp)
-    gains = L.importance_runs(rows, _forest(names), names, inp.cfg, RUN_SEEDS)
-    return importance_robustness(importance_shares(gains))
+    return importance_robustness(importance_shares(P.boosted_importance(rows, names, inp.cfg, RUN_SEEDS, **CLASS_TREES)))
 
 
 @query("class_mix_by_auto_renew", "is_auto_renew:i label n:i share:f row_total:i", """
