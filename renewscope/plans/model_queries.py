@@ -44,6 +44,10 @@ SUBSAMPLE = 200_000
 CLASS_TREES = {"rounds": 300, "depth": 5, "step": 0.1}
 ARM_TREES = {"rounds": 400, "depth": 6, "step": 0.05}
 STRENGTHS = (0.01, 0.1, 1.0, 10.0)
+#: Published grid of the tree searches, 16 draws for a classifier and 24 for an arm. Published leaves 31 to 255 are complete trees of depth 5 to 8.
+TREE_GRID = {"rounds": [300, 500, 800], "step": [0.03, 0.05, 0.1], "depth": [5, 6, 7, 8], "leaf": [20, 50, 100, 200],
+             "columns": [0.7, 0.85, 1.0], "share": [0.7, 0.85, 1.0], "ridge": [0.0, 1.0, 5.0], "curve": [1e-3]}
+ARM_TRIALS = 24
 
 
 def _subsample(rows):
@@ -76,6 +80,25 @@ def hyper_parameter_search(inp):
     return P.random_search(P.prepare(_subsample(rows), names), inp.cfg, grid, TRIALS, 42, ledger, SCORED)
 
 
+_DRAWN = "trial rounds:i step:f depth:i leaf:i columns:f share:f ridge:f"
+
+
+@query("renewal_tree_search", f"{_DRAWN} macro_f1:f macro_f1_std:f balanced_acc:f")
+def renewal_tree_search(inp):
+    rows, names = _rows(inp)
+    spark = rows.sparkSession
+    ledger = TrialLedger(spark, shared_dir(spark, "sweeps"), "renewal_trees")
+    return P.boosted_search(_subsample(rows), names, inp.cfg, TREE_GRID, TRIALS, 42, ledger, SCORED, "renew").drop("curve")
+
+
+@query("arm_tree_search", f"{_DRAWN} move_f1:f move_f1_std:f rmse:f")
+def arm_tree_search(inp):
+    rows, names = _rows(inp)
+    spark = rows.sparkSession
+    ledger = TrialLedger(spark, shared_dir(spark, "sweeps"), "ratio_trees")
+    return P.arm_search(_subsample(rows), names, inp.cfg, "ratio", TREE_GRID, ARM_TRIALS, 42, ledger, SCORED).drop("curve")
+
+
 @query("repeated_holdout_runs", "seed:i model c:f accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
 def repeated_holdout_runs(inp):
     rows, names = _rows(inp)
