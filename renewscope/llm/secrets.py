@@ -9,6 +9,9 @@ value is owner-specific.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ OWNED = "owned"
 NAMES = [k[0] for k in KINDS] + [OWNED]
 #: A value is owner-specific if no more owners than these hold it, in however many documents.
 MAX_OWNERS = 2
+#: Every assignment holds one of these, whatever the case of its letters.
+NAMED = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: Matches of one text whose lengths are summed in one go.
 _STEP = 256
 _SALTS = 32
@@ -141,23 +146,27 @@ def masked_documents(docs: DataFrame, text: str = "text", max_owners: int = MAX_
     Values of assignments go first: a token that meets one lies inside it. Then whole tokens
     that are owner-specific: fixed kinds that meet one of these lie inside it as well. Access keys
     and hex runs go last; a hex run that begins in the digits of a key goes with it.
-    Only rows that hold a further candidate meet the scan's result, so the texts of all others
-    are not shuffled. A null text stays null; `n_chars`, if there is one, is counted anew.
+    Texts without a name of an assignment are not searched for one. Masked texts are written once, with a mark on those that hold a
+    further candidate: only these meet the scan's result, so the texts of all others are not shuffled. A null text
+    stays null; `n_chars`, if there is one, is counted anew.
     """
-    row, o, live = (fresh(docs, x) for x in ("repo", "owner", "live"))
+    row, o, live, suspect = (fresh(docs, x) for x in ("repo", "owner", "live", "suspect"))
     body = F.col(text)
     # A value is masked and its name kept; a bounded pattern covers what stands behind shorter values.
     assign, least = ASSIGN.rpartition("(")[0], KINDS[0][2]
-    masked = docs.withColumn(text, _hidden(body, ASSIGN, KINDS[0][3], lambda part: F.length(part) >= least))
-    masked = masked.withColumn(text, F.regexp_replace(body, f"({assign})[A-Za-z0-9+/_.=-]{{{least},}}", f"$1{MASK}"))
+    hidden = _hidden(body, ASSIGN, KINDS[0][3], lambda part: F.length(part) >= least)
+    hidden = F.regexp_replace(hidden, f"({assign})[A-Za-z0-9+/_.=-]{{{least},}}", f"$1{MASK}")
+    named = reduce(or_, [F.lower(body).contains(n) for n in NAMED])
+    masked = docs.withColumn(text, F.when(named, hidden).otherwise(body))
     tokens = F.filter(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), _looks_live)
-    suspect = F.coalesce(body.rlike(TOKEN), F.lit(False)) & F.coalesce(F.size(tokens) > 0, F.lit(False))
+    holds = F.coalesce(body.rlike(TOKEN), F.lit(False)) & F.coalesce(F.size(tokens) > 0, F.lit(False))
+    masked = through_table(masked.withColumn(suspect, holds), "masked-assignments")
     found = scan(docs, text, max_owners=max_owners).where(F.size("live") > 0).select(F.col("repo").alias(row), F.col("owner").alias(o), F.col("live").alias(live))
     found = found.dropDuplicates([row, o])
-    some = masked.where(suspect).join(found, F.col("doc_id").eqNullSafe(F.col(row)) & F.col("source").eqNullSafe(F.col(o)), "left")
+    some = masked.where(F.col(suspect)).join(found, F.col("doc_id").eqNullSafe(F.col(row)) & F.col("source").eqNullSafe(F.col(o)), "left")
     owned = lambda token: _looks_live(token) & F.array_contains(F.col(live), F.sha2(token, 256))
     some = some.withColumn(text, F.when(F.col(live).isNull(), body).otherwise(_hidden(body, TOKEN, 0, owned))).drop(row, o, live)
-    masked = masked.where(~suspect).unionByName(some)
+    masked = masked.where(~F.col(suspect)).unionByName(some)
     key = "AKIA(?=[A-Z0-9]{14})(?:[A-Z0-9]*[A-Z])?(?:[0-9a-f]{16,}|[0-9]*)"
     masked = masked.withColumn(text, F.regexp_replace(body, f"{key}|[0-9a-f]{{16,}}", MASK))
     if "n_chars" in docs.columns:
