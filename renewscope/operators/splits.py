@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -116,14 +116,20 @@ def hash_order(seed: int, *cols: str) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
 
 
-def stratified_subsample(df: DataFrame, label: str, n: int, keys: Sequence[str], seed: int) -> DataFrame:
+def text_order(seed: int, *cols: str) -> Column:
+    """An order like hash_order that any engine with MD5 can repeat: sixty bits of the MD5 of the texts, joined by colons."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.left(F.md5(text), F.lit(15)), 16, 10).cast("long")
+
+
+def stratified_subsample(df: DataFrame, label: str, n: int, keys: Sequence[str], seed: int, order_by: Callable[..., Column] = hash_order) -> DataFrame:
     """About n rows with the class shares of df; per class max(1, round(n_class * n / total)).
 
-    Rows are taken in hash order. The hash of the last row taken is found per class
+    Rows are taken in hash order, by `order_by`. The hash of the last row taken is found per class
     as an exact order statistic, so no class is sorted in one task.
     """
     buckets = 4096
-    order = df.withColumn("_h", hash_order(seed, *keys))
+    order = df.withColumn("_h", order_by(seed, *keys))
     order = order.withColumn("_b", F.shiftrightunsigned(F.col("_h"), 52).cast("int"))
     per_bucket = order.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     by_class = W.partitionBy(label)
@@ -147,9 +153,9 @@ def stratified_subsample(df: DataFrame, label: str, n: int, keys: Sequence[str],
     return whole.unionByName(edge.drop("_r")).select(*df.columns)
 
 
-def hash_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int) -> DataFrame:
+def hash_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int, order_by: Callable[..., Column] = hash_order) -> DataFrame:
     """n rows in hash order: the sampling operator itself, a distributed top-n."""
-    return df.orderBy(hash_order(seed, *keys), *keys).limit(n)
+    return df.orderBy(order_by(seed, *keys), *keys).limit(n)
 
 
 def split_leaks(events: DataFrame) -> DataFrame:

@@ -142,6 +142,24 @@ def hash_sample_size(inp):
     return kept.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("msno", "E").alias("n_keys"))
 
 
+_TEXT_ORDER = "CAST('0x' || left(md5('42:' || msno || ':' || CAST(E AS VARCHAR)), 15) AS BIGINT)"
+
+
+@query("stratified_subsample_rows", "msno E:d label", f"""
+WITH sized AS (SELECT label, greatest(1, least(count(*), CAST(round_even(count(*) * 1000 / CAST((SELECT count(*) FROM core) AS DOUBLE), 0) AS BIGINT))) AS take
+  FROM core GROUP BY 1),
+ranked AS (SELECT msno, E, label, row_number() OVER (PARTITION BY label ORDER BY {_TEXT_ORDER}, msno, E) AS place FROM core)
+SELECT msno, E, label FROM ranked JOIN sized USING (label) WHERE place <= take""")
+def stratified_subsample_rows(inp):
+    core = labelled_events(inp).where("label <> 'INSUFFICIENT_DATA'").select("msno", "E", "label")
+    return S.stratified_subsample(through_table(core, "core"), "label", 1000, ["msno", "E"], 42, S.text_order)
+
+
+@query("hash_sample_rows", "msno E:d", f"SELECT msno, E FROM cohort ORDER BY {_TEXT_ORDER}, msno, E LIMIT 500")
+def hash_sample_rows(inp):
+    return S.hash_sample(_cohort(inp).select("msno", "E"), 500, ["msno", "E"], 42, S.text_order)
+
+
 @query("daily_panel", "msno E:d offset_day:i total_secs:g num_100:i num_unq:i num_25:i",
        "SELECT *, \"offset\" AS offset_day FROM panel")
 def daily_panel(inp):
