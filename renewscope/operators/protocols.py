@@ -352,6 +352,19 @@ def arm_rows(rows: DataFrame) -> DataFrame:
     return with_arms(rows).where(F.col("renewed") == 1)
 
 
+def constant_arms(rows: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """(arm, scores, rmse) of the least that an arm has to beat: the mean target of the development renewers, predicted for every
+    renewer of the holdout and turned into a movement."""
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"t_{a}").alias("target")) for a in ARMS]))
+    long = arm_rows(rows).where(F.col("move").isNotNull()).select("is_holdout", "move", "pre_secs", each.alias("v")).select("is_holdout", "move", "pre_secs", "v.*")
+    mean = long.where("is_holdout = 0").groupBy("arm").agg(F.avg("target").alias("prediction"))
+    # One row an arm.
+    held = long.where("is_holdout = 1").join(F.broadcast(mean), "arm")
+    ratio = F.coalesce(*[F.when(F.col("arm") == a, M.ratio_from_prediction(F.col("prediction"), F.col("pre_secs"), a)) for a in ARMS])
+    pred = held.withColumns({"y": F.col("move").cast("int"), "p": M.ratio_to_movement(ratio, cfg)})
+    return M.score_block(pred, ["arm"]).join(M.rmse(pred, "target", "prediction", ["arm"]), "arm")
+
+
 def boosted_arms(rows: DataFrame, names: Sequence[str], cfg: StudyConfig, folds: Sequence[int] = (0, 1, 2), **params) -> DataFrame:
     """(arm, move_f1, move_f1_std, rmse) of both boosted regression arms."""
     return arm_trials(*_bins(arm_rows(rows), names), cfg, {"boosted": params}, ARMS, folds).drop("model")

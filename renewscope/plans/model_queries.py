@@ -1,17 +1,18 @@
 """Queries that fit models, over all folds, seeds, cutoffs, steps and trials of the protocols.
 Iterations, rounds, trees, depths and steps are the published ones, the operators' defaults.
-Fitting is not expressible in SQL, so these have no SQL twin."""
+Fitting is not expressible in SQL, so these have no SQL twin; constant predictions and tables of classes have one."""
 
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
-from renewscope.config import ORDERS_STUDY, RUN_SEEDS
+from renewscope.config import MOVEMENT_CLASSES, ORDERS_STUDY, RUN_SEEDS
+from renewscope.functions.scalar import code_of
 from renewscope.operators import models as L
 from renewscope.operators import protocols as P
 from renewscope.operators.labels import core
 from renewscope.operators.metrics import importance_robustness, importance_shares
-from renewscope.operators.splits import stratified_subsample
+from renewscope.operators.splits import stratified_subsample, with_fixed_split
 from renewscope.plans.catalog import query
 from renewscope.plans.engineered import engineered_events, rebuilt_at_cutoffs
 from renewscope.plans.labelled import labelled_events
@@ -129,6 +130,28 @@ def regression_arms(inp):
     return P.boosted_arms(rows, names, inp.cfg, SCORED, **ARM_TREES)
 
 
+@query("constant_arm_scores", "arm accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i rmse:f", f"""
+WITH arm_targets AS (
+  SELECT is_holdout, CASE label WHEN 'CONTRACTION' THEN 0 WHEN 'STABLE' THEN 1 ELSE 2 END AS y, CAST(pre_total_secs AS DOUBLE) AS pre, unnest(['volume', 'ratio']) AS arm,
+    unnest([ln(1 + greatest(CAST(post_total_secs AS DOUBLE), 0)), ln(1 + greatest(CAST(vol_ratio AS DOUBLE), 0))]) AS target
+  FROM split WHERE is_modellable = 1 AND renewed = 1
+), arm_means AS (SELECT arm, avg(target) AS m FROM arm_targets WHERE is_holdout = 0 GROUP BY 1),
+arm_pred AS (
+  SELECT arm, y, target, m, CASE WHEN r < {ORDERS_STUDY.vol_low} THEN 0 WHEN r > {ORDERS_STUDY.vol_high} THEN 2 ELSE 1 END AS p
+  FROM (SELECT *, (exp(m) - 1) / CASE arm WHEN 'volume' THEN greatest(pre, 1e-9) ELSE 1 END AS r FROM arm_targets JOIN arm_means USING (arm) WHERE is_holdout = 1)
+), arm_conf AS (
+  SELECT arm, cls, sum(support) AS support, sum(hits) AS hits, 2 * sum(hits) / (sum(support) + sum(predicted)) AS f1, sum(hits) / nullif(sum(support), 0) AS recall FROM (
+    SELECT arm, y AS cls, 1 AS support, 0 AS predicted, CAST(y = p AS INT) AS hits FROM arm_pred
+    UNION ALL SELECT arm, p, 0, 1, 0 FROM arm_pred) GROUP BY 1, 2
+)
+SELECT arm, sum(hits) / sum(support) AS accuracy, avg(recall) AS balanced_acc, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1, sum(support) AS n,
+  any_value(rmse) AS rmse
+FROM arm_conf JOIN (SELECT arm, sqrt(avg((target - m) * (target - m))) AS rmse FROM arm_pred GROUP BY 1) USING (arm) GROUP BY 1""")
+def constant_arm_scores(inp):
+    rows = with_fixed_split(labelled_events(inp), inp.cfg).where("is_modellable = 1")
+    return P.constant_arms(rows.withColumns({"move": code_of(F.col("label"), MOVEMENT_CLASSES), "pre_secs": F.col("pre_total_secs").cast("double")}), inp.cfg)
+
+
 @query("walk_forward_scores", "protocol test_month:i accuracy:f balanced_acc:f macro_f1:f weighted_f1:f n:i")
 def walk_forward_scores(inp):
     rows, names = _rows(inp)
