@@ -118,3 +118,13 @@ def test_odd_rows(odd_docs, no_docs):
 def test_main_path_is_native(odd_docs):
     plan = secrets.scan(odd_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_names_in_any_case_are_masked(spark):
+    """Texts are searched for an assignment only if they hold a name; every name of the pattern is among those."""
+    names = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+    assert tuple(names) == secrets.NAMED
+    texts = [f"é {shape(n)} = aaaa/bbbb+cccc z" for n in names for shape in (str.lower, str.upper, str.title)] + ["pass word = aaaa/bbbb+cccc z"]
+    got = {r["doc_id"]: r["text"] for r in secrets.masked_documents(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [t.replace("aaaa/bbbb+cccc", "<SECRET>") if brute(t) else t for t in texts]
+    assert sum(bool(brute(t)) for t in texts) == 18
