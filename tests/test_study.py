@@ -10,6 +10,7 @@ from renewscope.functions.scalar import keep_between, md5_mod, parse_yyyymmdd, t
 from renewscope.operators.audits import label_agreement, official_churn
 from renewscope.operators.cohort import distinct_transactions, expiry_events, transaction_days
 from renewscope.operators.cutoff import cutoff_matrix, transaction_features_at
+from renewscope.operators import history
 from renewscope.operators.history import with_history
 from renewscope.operators.members import with_demographics
 from renewscope.operators.renewal import renewal_signals
@@ -121,6 +122,27 @@ def test_history_mode_median_and_missing(spark):
     assert new["n_hist_txns"] is None and new["has_hist_txn"] == 0 and new["prior_renewal_rate"] == 0.0
 
 
+def test_histories_of_few_and_many_transactions_agree(spark, monkeypatch):
+    rows = [txn(u, day(-d), day(-d + 30), paid=(7 * d) % 11, method=(d % 3) or None) for u, n in (("a", 9), ("b", 40)) for d in range(1, n)]
+    rows.append(txn(None, day(-5), E0, paid=3, method=1))
+    t = spark.createDataFrame(rows, TXN)
+    points = spark.createDataFrame([(u, day(-c)) for u in ("a", "b", "new") for c in (0, 5, 6, 30)], "msno string, E date")
+    found = []
+    for bound in (0, 20, 256):
+        monkeypatch.setattr(history, "GATHERED", bound)
+        found.append(sorted(map(str, with_history(points, t, transaction_days(t), at="E").select(
+            "msno", "E", "median_hist_paid", "mode_pay_method", "n_hist_txns").collect())))
+    assert found[0] == found[1] == found[2]
+
+
+def test_cohort_rows_are_not_broadcast(spark, capsys):
+    rows = [txn(f"u{i}", day(-90 - i), day(-i), paid=i, method=1) for i in range(20)]
+    t = spark.createDataFrame(rows, TXN)
+    points = spark.createDataFrame([(f"u{i}", day(-i)) for i in range(20)], "msno string, E date")
+    with_history(points, t, transaction_days(t), at="E").explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
 def test_cutoff_modes(spark):
     rows = [txn("a", day(-5), E0), txn("b", day(-40), day(-10)), txn("b", day(-3), E0)]
     t = spark.createDataFrame(rows, TXN)
