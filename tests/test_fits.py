@@ -87,6 +87,25 @@ def test_medians_are_exact(rows, prepared):
         assert np.allclose(got[f.name] * prepared.scale + prepared.center, [want[c] for c in prepared.nums])
 
 
+def test_medians_are_counted_by_leading_bits(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.uniform(1, 2, 3000), -rng.lognormal(2, 3, 1999), [0.0, -0.0, 1e300, -1e-300]])
+    bits = T._ordered_bits(np.sort(values))
+    assert (np.diff(bits.astype(float)) >= 0).all()
+    table = spark.createDataFrame([([float(v), None if i % 3 else float(i % 7)], i % 5, float(i % 2)) for i, v in enumerate(values)], "x array<double>, fold int, y double")
+    d = T.Design(table, ["a", "b"], [], {}, np.zeros(2), np.ones(2))
+    fits = [T.Fit(f"{c}:{k}", "y", 2, "fold", frozenset(range(5)) - {k}, c=c) for c in (0.1, 1.0) for k in range(5)]
+    got = T.pool_medians(d, fits)
+    for f in fits:
+        mine = np.arange(len(values)) % 5 != int(f.name[-1])
+        sparse = np.arange(len(values))[mine & (np.arange(len(values)) % 3 == 0)] % 7
+        np.testing.assert_allclose(got[f.name], [np.median(values[mine]), np.median(sparse)], rtol=1e-14)
+    # What a task hands on doesn't grow with its rows: 64 counts a doubling of the values.
+    told = table.where("x[0] >= 1 AND x[0] < 2").select("x", "fold", "y").coalesce(1).mapInArrow(
+        T._cell_counts(2, [("fold|y", "fold", "y")], None), "pool string, cell long, number int, at long, n long").where("number = 0")
+    assert told.count() <= 5 * 64 and told.agg(F.sum("n")).first()[0] == 3000
+
+
 def test_rows_are_scored_once_under_their_own_fold(rows, prepared):
     fits = [f for f in many_fits() if f.name.startswith("y:")]
     fitted = T.fit_together(prepared, fits)
