@@ -85,16 +85,34 @@ def channel_statistics(dense: DataFrame, cfg: StudyConfig,
 
 def normalise_sequences(dense: DataFrame, stats: DataFrame, cfg: StudyConfig,
                         channels: Sequence[str] = PANEL_CHANNELS) -> DataFrame:
-    """Clip, log1p and standardise each channel with statistics fitted elsewhere."""
-    wide = stats.groupBy().agg(
-        F.map_from_entries(F.collect_list(F.struct("channel", F.struct("mean", "std")))).alias("st"))
-    fitted = wide.select("st").scalar()
-    out = dense.withColumn("_st", fitted)
+    """Clip, log1p and standardise each channel with statistics fitted elsewhere.
 
-    def scaled(day):
+    The statistics are one struct of numbers, read by position: a map would be searched by
+    name again for every value. Days without activity are all alike and computed once.
+    """
+    fitted = stats.groupBy().agg(*[
+        F.max(F.when(F.col("channel") == c, F.col(s))).alias(f"{s}{i}")
+        for i, c in enumerate(channels) for s in ("mean", "std")])
+    zero = F.array(*[F.lit(0.0).cast("float")] * len(channels))
+
+    def scaled(day, stat):
         return F.array(*[
             (F.log1p(F.least(F.greatest(day[i].cast("double"), F.lit(0.0)), F.lit(cfg.seq_clip)))
-             - F.col("_st")[c]["mean"]) / F.col("_st")[c]["std"]
-            for i, c in enumerate(channels)])
-
-    return out.withColumn("seq", F.transform("seq", scaled)).drop("_st")
+             - stat(f"mean{i}")) / stat(f"std{i}")
+            for i in range(len(channels))])
+
+    numbers = F.struct("*", scaled(zero, F.col).alias("idle")).alias("st")
+    out = dense.withColumn("_st", fitted.select(numbers).scalar())
+    read = F.col("_st").getField
+    day_of = lambda day: F.when(day == zero, read("idle")).otherwise(scaled(day, read))
+    return out.withColumn("seq", F.transform("seq", day_of)).drop("_st")
+
+
+def channel_totals(dense: DataFrame, channels: Sequence[str] = PANEL_CHANNELS) -> DataFrame:
+    """(channel, total) over all days of all events, summed event by event and all channels in
+    one walk over a sequence."""
+    zero = F.array(*[F.lit(0.0)] * len(channels))
+    by_event = dense.select(F.aggregate("seq", zero, lambda total, day: F.array(*[
+        total[i] + day[i] for i in range(len(channels))])).alias("sums"))
+    totals = by_event.agg(*[F.sum(F.col("sums")[i]).alias(c) for i, c in enumerate(channels)])
+    return totals.unpivot([], list(channels), "channel", "total")

@@ -247,13 +247,7 @@ def sequence_channel_statistics(inp):
     f"/ ((SELECT stddev_pop({e}) FROM panel WHERE {_BUSY}) + 1e-6) AS total FROM panel" for c, e in _LOGGED.items()))
 def normalised_sequence_totals(inp):
     dense = through_table(_dense(inp, inp.cfg.seq_window), "dense")
-    scaled = Q.normalise_sequences(dense, Q.channel_statistics(dense, inp.cfg), inp.cfg)
-
-    def channel_sum(i):
-        return F.sum(F.aggregate("seq", F.lit(0.0), lambda total, day: total + day[i]))
-
-    totals = scaled.agg(*[channel_sum(i).alias(c) for i, c in enumerate(PANEL_CHANNELS)])
-    return totals.unpivot([], list(PANEL_CHANNELS), "channel", "total")
+    return Q.channel_totals(Q.normalise_sequences(dense, Q.channel_statistics(dense, inp.cfg), inp.cfg))
 
 
 _NUMS = ("pre_rate", "vol_ratio", "recent_vs_life_ratio")

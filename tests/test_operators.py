@@ -10,7 +10,7 @@ from renewscope.operators import features as E
 from renewscope.operators import metrics as M
 from renewscope.operators.explore import describe_exact, histogram, missing_fractions, spearman
 from renewscope.operators.history import history_medians
-from renewscope.operators.panel import daily_panel, dense_sequence, slide
+from renewscope.operators.panel import channel_totals, daily_panel, dense_sequence, normalise_sequences, slide
 from renewscope.operators.quantiles import exact_quantiles, value_ranks
 from renewscope.operators.ranges import binned_interval_join, plain_interval_join
 from renewscope.operators.skew import join_unique
@@ -237,3 +237,23 @@ def test_importance_and_baselines(spark):
     drawn = M.baseline_predictions(train, test, F.col("u"))
     assert {(r["strategy"], r["p"]): r["n"] for r in drawn.groupBy("strategy", "p").agg(F.count(F.lit(1)).alias("n")).collect()} == {
         ("most_frequent", 1): 1000, ("prior", 1): 1000, ("stratified", 0): 300, ("stratified", 1): 600, ("stratified", 2): 100}
+
+
+def test_normalised_totals_compute_a_sequence_once(spark, tmp_path):
+    seqs = [[[0.0, 1.0], [5.0, None]], [[70_000.0, 2.0]], [], None]
+    spark.createDataFrame([(str(i), s) for i, s in enumerate(seqs)], "msno string, seq array<array<float>>").write.parquet(
+        f"{tmp_path}/dense")
+    spark.createDataFrame([("b", 0.5, 2.0), ("a", 1.0, 4.0)], "channel string, mean double, std double").write.parquet(
+        f"{tmp_path}/stats")
+    dense, stats = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("dense", "stats"))
+    scaled = normalise_sequences(dense, stats, CFG, ["a", "b"])
+    logged = lambda x, mean, std: (np.log1p(min(x, CFG.seq_clip)) - mean) / std
+    want = {r["msno"]: r["seq"] for r in scaled.collect()}
+    assert want["2"] == [] and want["3"] is None
+    assert want["0"][1] == pytest.approx([logged(5, 1, 4), logged(0, 0.5, 2)])
+    assert want["1"][0] == pytest.approx([logged(70_000, 1, 4), logged(2, 0.5, 2)])
+    totals = channel_totals(scaled, ["a", "b"])
+    got = {r["channel"]: r["total"] for r in totals.collect()}
+    assert got == pytest.approx({c: sum(day[i] for s in want.values() for day in s or []) for i, c in enumerate("ab")})
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == plan.count("aggregate(seq") + plan.count("aggregate(transform") == 1 and "map_from_entries" not in plan
