@@ -1,13 +1,16 @@
 """Raw conversion, optional parts, stages, caches, sweeps and the contract."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from renewscope.config import StudyConfig
 from renewscope.operators.features import project_features
 from renewscope.plans.engineered import engineered_events, rebuilt_at_cutoffs
-from renewscope.sources import raw
+from renewscope.sources import adapters, raw
 from renewscope.sources.contract import FeatureContract
+from renewscope.sources.raw import stored_bytes
 from renewscope.sources.schemas import DATASETS, TRANSACTIONS, USER_LOGS
 from renewscope.sources.stores import SweepStore, cached_by_keys, read_report, stage, write_report
 
@@ -129,3 +132,26 @@ def test_stale_mark_does_not_outlive_its_table(spark, tmp_path):
         cached_by_keys(spark, path, two, ["k"], breaks)
     table, reused = cached_by_keys(spark, path, one, ["k"], lambda: one)
     assert not reused and table.first()["k"] == 1
+
+
+def test_usage_view_is_dealt_by_size(spark, tmp_path, monkeypatch):
+    """A large view is joined and aggregated in partitions by its stored size, not in the few that
+    Spark merges them into; the rows are the same."""
+    orders = spark.createDataFrame([(k, k % 5 if k % 7 else None) for k in range(40)], "o_orderkey long, o_custkey long")
+    day = "timestamp'1997-01-01' + make_dt_interval(id % 3)"
+    lines = spark.range(400).selectExpr(
+        "id % 45 AS l_orderkey", f"IF(id % 11 = 0, NULL, {day}) AS l_shipdate", "CAST(id % 4 AS double) AS l_quantity",
+        "IF(id % 2 = 0, 'A', 'N') AS l_returnflag", "id % 6 AS l_partkey")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    paths = [f"{tmp_path}/orders.parquet", f"{tmp_path}/lineitem.parquet"]
+    stored = sum(f.stat().st_size for p in paths for f in Path(p).iterdir() if not f.name.endswith(".crc"))
+    assert stored_bytes(spark, *paths) == stored
+    assert adapters.usage_pieces(spark, *paths) is None
+    monkeypatch.setattr(adapters, "PIECE_BYTES", stored // 30)
+    pieces = adapters.usage_pieces(spark, *paths)
+    assert 30 <= pieces <= 32
+    tables = [spark.read.parquet(p) for p in paths]
+    small, large = adapters.orders_usage(*tables), adapters.orders_usage(*tables, pieces)
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    assert large.rdd.getNumPartitions() == pieces > small.rdd.getNumPartitions()
