@@ -1,5 +1,7 @@
 """Fits that advance together against single fits, Spark ML and plain refits."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
@@ -11,6 +13,7 @@ from renewscope.operators import fits as T
 from renewscope.operators import metrics as M
 from renewscope.operators import protocols as P
 from renewscope.operators.features import fit_medians
+from renewscope.plans import model_queries as Q
 from renewscope.sources.stores import TrialLedger
 
 CFG = StudyConfig()
@@ -181,6 +184,21 @@ def test_decay_over_cutoffs(rows):
     assert P.two_stage_decay(at, NAMES, (0, 7), 0.5, CFG, folds=(0,)).count() == 2
 
 
+def decayed(rows, monkeypatch, query):
+    """Rows of a decay query over two cutoffs, and the cells that its fits score."""
+    at = rows.withColumn("cutoff_days", F.explode(F.array(F.lit(0), F.lit(7))))
+    seen, fits = [], P._cutoff_fits
+    monkeypatch.setattr(Q, "_cutoff_rows", lambda inp: (at, NAMES))
+    monkeypatch.setattr(P, "_cutoff_fits", lambda *a: [seen.append(f) or replace(f, max_iter=5) for f in fits(*a)])
+    got = getattr(Q, query)(type("I", (), {"cfg": CFG.with_(cutoffs=(0, 7))})).collect()
+    return got, sorted(k for f in seen for k in f.score)
+
+
+def test_decay_by_cutoff_scores_every_fold(rows, monkeypatch):
+    got, cells = decayed(rows, monkeypatch, "accuracy_decay_by_cutoff")
+    assert cells == list(range(2 * CFG.n_folds)) and {r["cutoff_days"] for r in got} == {"0", "7"}
+
+
 def test_search_resumes_behind_the_last_committed_trial(spark, prepared, tmp_path, monkeypatch):
     grid, fitted = {"c": [0.01, 0.1, 1.0, 10.0]}, []
     real, ledger = P.cross_validated, TrialLedger(spark, str(tmp_path), "search")
