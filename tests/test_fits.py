@@ -199,6 +199,11 @@ def test_decay_by_cutoff_scores_every_fold(rows, monkeypatch):
     assert cells == list(range(2 * CFG.n_folds)) and {r["cutoff_days"] for r in got} == {"0", "7"}
 
 
+def test_decay_by_fold_has_every_fold(rows, monkeypatch):
+    got, cells = decayed(rows, monkeypatch, "accuracy_decay_by_fold")
+    assert cells == list(range(2 * CFG.n_folds)) and {(r["cutoff_days"], int(r["fold"])) for r in got} == {(c, k) for c in ("0", "7") for k in range(CFG.n_folds)}
+
+
 def test_search_resumes_behind_the_last_committed_trial(spark, prepared, tmp_path, monkeypatch):
     grid, fitted = {"c": [0.01, 0.1, 1.0, 10.0]}, []
     real, ledger = P.cross_validated, TrialLedger(spark, str(tmp_path), "search")
