@@ -162,6 +162,19 @@ def test_nested_runs(rows):
     assert all((r["tau"] is None) == (p == "direct") and r["c_first"] in (0.01, 1.0) and r["macro_f1"] > 0.3 for (_, p), r in got.items())
 
 
+def test_nested_query_tunes_on_every_fold(rows, monkeypatch):
+    """All of a stage's trials score each development row once: no fold is left out of the choice of a strength."""
+    seen, run = [], P._run
+    monkeypatch.setattr(Q, "_rows", lambda inp: (rows, NAMES))
+    monkeypatch.setattr(Q, "RUN_SEEDS", (42,))
+    monkeypatch.setattr(Q, "STRENGTHS", (0.01, 1.0))
+    monkeypatch.setattr(P, "_run", lambda d, fits, carried: seen.append(fits) or run(d, [replace(f, max_iter=5) for f in fits], carried))
+    assert Q.nested_protocol_runs(type("I", (), {"cfg": CFG})).count() == 4
+    for stage in P.STAGES:
+        for trial in (0, 1):
+            assert sorted(k for f in seen[0] if f.name.startswith(f"42:{stage}:{trial}:") for k in f.score) == list(range(CFG.n_folds))
+
+
 def test_two_stage_runs_and_tuned_holdouts(rows):
     got = P.two_stage_runs(rows, NAMES, CFG, [42, 43], folds=(0, 1)).collect()
     assert {(r["seed"], r["model"]) for r in got} == {(s, m) for s in ("42", "43") for m in ("argmax", "tuned")}
