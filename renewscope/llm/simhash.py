@@ -95,7 +95,8 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     homes = prints.select("fp").mapInArrow(home, "anchor long, a long")
     visitors = prints.select("fp").mapInArrow(visits, "at long, b long")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return homes.join(visitors, (F.col("anchor") == F.col("at")) & (F.col("a") < F.col("b")) & close).select("a", "b")
+    # Spark takes a fingerprint's some 60 visits for one row and would broadcast them all.
+    return homes.join(visitors.hint("merge"), (F.col("anchor") == F.col("at")) & (F.col("a") < F.col("b")) & close).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, distance: int = 2) -> DataFrame:
@@ -115,10 +116,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("first")
     prints = through_table(rows.groupBy("fp").agg(first, F.count("*").alias("n")), "simhash-prints")
     roots = components(links(prints, distance))
-    rooted = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    # Written tables are several times as large in memory as stored, so that their joins by fingerprint are merged too.
+    rooted = prints.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     rooted = through_table(rooted, "simhash-roots")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("one"))
-    of_print = through_table(rooted.join(firsts, "root").select("fp", "one", "n"), "simhash-groups")
+    of_print = through_table(rooted.join(firsts.hint("merge"), "root").select("fp", "one", "n"), "simhash-groups")
     return join_unique(rows, of_print, ["fp"], "n").select(
         "doc_id", "row_hash", "fp", F.col("one.doc_id").alias("component_id"),
         (F.col("row_hash") == F.col("one.row_hash")).alias("kept"))

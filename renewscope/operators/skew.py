@@ -36,5 +36,5 @@ def join_unique(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], weight
     hot_lookup = lookup.join(F.broadcast(hot), list(keys), "left_semi")
     cold_lookup = lookup.join(F.broadcast(hot), list(keys), "left_anti")
     hot_part = facts.join(F.broadcast(hot_lookup), list(keys))
-    cold_part = facts.join(F.broadcast(hot), list(keys), "left_anti").join(cold_lookup, list(keys))
+    cold_part = facts.join(F.broadcast(hot), list(keys), "left_anti").join(cold_lookup.hint("merge"), list(keys))
     return hot_part.unionByName(cold_part)

@@ -61,6 +61,14 @@ def test_links_equal_all_pairs(spark):
     assert got == [(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if (a ^ b).bit_count() <= 2]
 
 
+def test_visits_are_not_broadcast(spark):
+    """A fingerprint has some 60 visits, which Spark's estimate of the table leaves out."""
+    prints = spark.range(500).select(F.xxhash64("id").alias("fp"))
+    visits = simhash.links(prints, 2)
+    plan = visits._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_path_and_a_hub(spark):
     random.seed(5)
     ids = random.sample(range(10_000), 400)
