@@ -131,5 +131,5 @@ def deduplicated(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFr
     mark = fresh(docs, "row_hash")
     kept = near_duplicates(docs, shingle=shingle, distance=distance).where("kept").select(F.col("row_hash").alias("kept_hash")).distinct()
     row_hash = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("text"), F.lit(""))))
-    stays = docs.withColumn(mark, row_hash).join(kept, F.col(mark) == F.col("kept_hash"), "left_semi")
+    stays = docs.withColumn(mark, row_hash).join(kept.hint("merge"), F.col(mark) == F.col("kept_hash"), "left_semi")
     return stays.dropDuplicates([mark]).drop(mark)

@@ -69,6 +69,11 @@ def test_visits_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_kept_hashes_are_not_broadcast(odd_docs):
+    plan = simhash.deduplicated(odd_docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan.split("LeftSemi")[0].splitlines()[-1]
+
+
 def test_components_of_a_path_and_a_hub(spark):
     random.seed(5)
     ids = random.sample(range(10_000), 400)
