@@ -217,6 +217,16 @@ def test_decay_by_fold_has_every_fold(rows, monkeypatch):
     assert cells == list(range(2 * CFG.n_folds)) and {(r["cutoff_days"], int(r["fold"])) for r in got} == {(c, k) for c in ("0", "7") for k in range(CFG.n_folds)}
 
 
+def test_search_learns_from_all_rows(rows, monkeypatch):
+    """Over more rows than the published subsample has, the search is handed every one."""
+    seen = []
+    monkeypatch.setattr(Q, "_rows", lambda inp: (rows, NAMES))
+    monkeypatch.setattr(Q, "SUBSAMPLE", 400)
+    monkeypatch.setattr(P, "random_search", lambda d, *a: seen.append(d.rows.count()))
+    Q.hyper_parameter_search(type("I", (), {"cfg": CFG}))
+    assert seen == [rows.count()]
+
+
 def test_search_resumes_behind_the_last_committed_trial(spark, prepared, tmp_path, monkeypatch):
     grid, fitted = {"c": [0.01, 0.1, 1.0, 10.0]}, []
     real, ledger = P.cross_validated, TrialLedger(spark, str(tmp_path), "search")
