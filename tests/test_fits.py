@@ -227,6 +227,18 @@ def test_search_learns_from_all_rows(rows, monkeypatch):
     assert seen == [rows.count()]
 
 
+def test_comparison_learns_from_all_rows(rows, monkeypatch):
+    """Over more rows than the published subsample has, every family of models is handed all of them."""
+    seen, scores = {}, rows.sparkSession.createDataFrame([], "model string")
+    monkeypatch.setattr(Q, "_rows", lambda inp: (rows, NAMES))
+    monkeypatch.setattr(Q, "SUBSAMPLE", 400)
+    monkeypatch.setattr(P, "cross_validated", lambda d, *a: seen.update(logistic=d.rows.count()) or scores)
+    monkeypatch.setattr(P, "boosted_cv", lambda r, *a, **k: (seen.update(boosted=r.count()) or scores, {}))
+    monkeypatch.setattr(Q.L, "cross_validate", lambda r, *a, **k: seen.update(forest=r.count()) or scores)
+    Q.model_comparison(type("I", (), {"cfg": CFG}))
+    assert seen == dict.fromkeys(("logistic", "boosted", "forest"), rows.count())
+
+
 def test_search_resumes_behind_the_last_committed_trial(spark, prepared, tmp_path, monkeypatch):
     grid, fitted = {"c": [0.01, 0.1, 1.0, 10.0]}, []
     real, ledger = P.cross_validated, TrialLedger(spark, str(tmp_path), "search")
