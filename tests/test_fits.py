@@ -13,9 +13,13 @@ from renewscope.operators import fits as T
 from renewscope.operators import metrics as M
 from renewscope.operators import protocols as P
 from renewscope.operators.features import fit_medians
-from renewscope.plans import model_queries as Q
+from renewscope.plans import load_catalog
 from renewscope.sources.stores import TrialLedger
 
+# The SQL of a query module names tables of those before it, so that all are loaded in their order.
+load_catalog()
+from renewscope.plans import model_queries as Q  # noqa: E402
+
 CFG = StudyConfig()
 NAMES = ["pre_rate", "is_auto_renew", "gender", "city"]
 
